@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import splitting
+from tessera.llm import leakage, splitting
 from tessera.sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,23 @@ def p4_book_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "parsed_books", "id", "total_pages").withColumnRenamed("id", "parsed_book_id")
     runs = _book_runs(spark, sf_dir).join(books, "parsed_book_id", "left")
     return runs.withColumn("total_pages_agrees", F.coalesce(F.col("total_pages") == F.col("n_pages"), F.lit(False)))
+
+
+# Problem 6: test items in the corpus
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = leakage.excerpts(table(spark, sf_dir, "eval_items", "item_id", "text"))
+    return leakage.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), items)
+
+
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least ten consecutive words of an item's excerpt."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query()
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks with the number and the longest of the shared runs."""
+    return _leaks(spark, sf_dir)
