@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import leakage, splitting
+from tessera.llm import leakage, neardup, splitting
 from tessera.sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaks with the number and the longest of the shared runs."""
     return _leaks(spark, sf_dir)
+
+
+# Problem 1: near-duplicate records
+
+
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, sf_dir, "parsed_documents", "id", "text"), threshold=0.6, shingle=3, min_words=20)
+
+
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that share at least 0.6 of their runs of three words."""
+    return _near_duplicates(spark, sf_dir).record_pairs()
+
+
+@query()
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its class, its copies and its links."""
+    return _near_duplicates(spark, sf_dir).groups()
