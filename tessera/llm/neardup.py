@@ -153,7 +153,7 @@ class NearDuplicates:
         self.links = self._link()
 
     def _candidates(self) -> DataFrame:
-        banded = self._reps.select("n", F.explode("bands").alias("band")).distinct()
+        banded = self._reps.select("n", F.explode("bands").alias("band"))
         counted = banded.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("m > 1")
         shared = stage(counted, "shared-bands")
         cold = pairs_within(shared.where(F.col("m") <= self.block_rows), "band", "n", block_rows=self.block_rows).select("a", "b")
