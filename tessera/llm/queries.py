@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import leakage, neardup, splitting
+from tessera.llm import leakage, neardup, splitting, vectors
 from tessera.sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with its class, its copies and its links."""
     return _near_duplicates(spark, sf_dir).groups()
+
+
+# Problem 5: most similar vectors
+
+
+def _vector_search(spark: SparkSession, sf_dir: str) -> vectors.VectorSearch:
+    return vectors.VectorSearch(table(spark, sf_dir, "parsed_documents", "id", "embedding"))
+
+
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a cosine of at least 0.92 of which one is among the ten most similar rows of the other."""
+    near = _vector_search(spark, sf_dir).neighbours(at_least=0.92)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+@query()
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar rows of every row with a usable vector."""
+    return _vector_search(spark, sf_dir).neighbours()
