@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import leakage, neardup, splitting, vectors
+from tessera.llm import leakage, mixing, neardup, splitting, tokens, vectors
 from tessera.sources.tables import table
 
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -128,3 +132,57 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar rows of every row with a usable vector."""
     return _vector_search(spark, sf_dir).neighbours()
+
+
+# Problem 2: token budget
+
+
+def _merge_tokenizer(spark: SparkSession, sf_dir: str) -> tokens.MergeTokenizer:
+    return tokens.MergeTokenizer.from_table(table(spark, sf_dir, "tokenizer_merges"))
+
+
+@query()
+def p2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all and of usable texts by source, language and host."""
+    docs = table(spark, sf_dir, "parsed_documents", "id", "text", "source", "language", "url")
+    return tokens.token_totals(docs, _merge_tokenizer(spark, sf_dir))
+
+
+@query()
+def p2_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every record's text."""
+    return tokens.count_tokens(table(spark, sf_dir, "parsed_documents", "id", "text"), _merge_tokenizer(spark, sf_dir))
+
+
+@query()
+def p2_public_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals under a public vocabulary of 50 k tokens."""
+    docs = table(spark, sf_dir, "parsed_documents", "id", "text", "source", "language", "url")
+    return tokens.token_totals(docs, tokens.RankTokenizer(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
+
+
+# Problem 7: a mix of sources
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.SourceMix:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    counted = tokens.count_tokens(docs, tokens.RankTokenizer(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), "doc_id")
+    return mixing.SourceMix(docs.select("doc_id", "source").join(counted, "doc_id"), table(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that miss their share even with every allowed repeat."""
+    return _mix(spark, sf_dir).shares().where("missed").select("source")
+
+
+@query()
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and their copies."""
+    return _mix(spark, sf_dir).mix().withColumnRenamed("key", "doc_id")
+
+
+@query()
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mix(spark, sf_dir).shares()
