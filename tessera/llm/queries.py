@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import leakage, mixing, neardup, splitting, tokens, vectors
+from tessera.llm import leakage, mixing, neardup, reading, splitting, tokens, vectors
 from tessera.sources.tables import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -186,3 +186,23 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of every source."""
     return _mix(spark, sf_dir).shares()
+
+
+# Problem 8: reading level
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return reading.reading_levels(docs, reading.fit_on_ratings(docs, table(spark, sf_dir, "reading_ratings", "doc_id", "school_years")))
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents of at least 60 words of prose that ask for more than 14 years of schooling."""
+    return _levels(spark, sf_dir).where("english and prose_words >= 60 and school_years > 14").select("doc_id")
+
+
+@query()
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document."""
+    return _levels(spark, sf_dir)
