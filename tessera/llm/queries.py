@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import leakage, mixing, neardup, reading, splitting, tokens, vectors
+from tessera.llm import encoding, leakage, mixing, neardup, reading, splitting, tokens, vectors
+from tessera.runtime import broadcast_if_small
 from tessera.sources.tables import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -206,3 +207,32 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document."""
     return _levels(spark, sf_dir)
+
+
+# Problem 3: wrong character encodings
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and titles in one table; a group is a field of the books of one folder."""
+    folder = F.regexp_extract("source_file_path", r"^(.*)/", 1)
+    books = table(spark, sf_dir, "parsed_books", "id", "title", "source_file_path").withColumn("folder", folder)
+    pages = table(spark, sf_dir, "page_contents", "page_id", "parsed_book_id", "text")
+    of = books.select(F.col("id").alias("parsed_book_id"), "folder")
+    pages = pages.join(broadcast_if_small(of, 128), "parsed_book_id", "left")
+    return pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("key"), F.concat(F.lit("page:"), "folder").alias("group"), "text").unionByName(
+        books.select(F.lit("book").alias("kind"), F.col("id").alias("key"), F.concat(F.lit("book:"), "folder").alias("group"), F.col("title").alias("text"))
+    )
+
+
+@query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and titles that a wrong decoding damaged."""
+    damaged = encoding.find_damage(_texts(spark, sf_dir)).damaged
+    return damaged.select(F.col("kind").alias("record_kind"), F.col("key").alias("record_key"))
+
+
+@query()
+def p3_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged records, how they were damaged, and their text restored as far as it can be."""
+    texts = _texts(spark, sf_dir)
+    return encoding.repaired(texts, encoding.find_damage(texts))

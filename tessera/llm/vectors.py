@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import stage
+from tessera.runtime import broadcast_if_small, stage
 
 
 @dataclass(frozen=True)
@@ -37,12 +37,15 @@ class SearchSettings:
     branching: int = 16
     #: Sampled queries that are answered by brute force to set the visits, and the recall they must reach.
     probe_queries: int = 256
-    recall: float = 0.92
+    recall: float = 0.91
     #: Sampled rows that give every query a lower bound of its k-th similarity.
-    bound_rows: int = 4096
-    #: Data rows and queries at most (as estimated from the sample) in one task.
-    block_rows: int = 36_000
-    chunk_rows: int = 54_000
+    bound_rows: int = 2048
+    #: Data rows and queries at most (as estimated from the sample) in one task, and the least number of
+    #: groups and chunks that larger tables are cut into, so that all cores have work.
+    block_rows: int = 60_000
+    chunk_rows: int = 60_000
+    least_parts: int = 4
+    whole_rows: int = 4_000
     seed: int = 7
 
 
@@ -82,18 +85,24 @@ class KMeansTree:
                 order.append(node)
         return KMeansTree(np.asarray(nodes, np.float32), np.asarray(parent), np.asarray(depth), np.asarray(order))
 
-    def keys(self, queries: np.ndarray) -> np.ndarray:
+    def keys(self, queries: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
         """(queries, leaves): the priority at which best-bin-first meets each leaf, highest first.
 
         A node is popped once everything nearer has been, and only after its ancestors: so its place in
-        the queue's order is the least similarity on its path.
+        the queue's order is the least similarity on its path. ``only`` names the leaves wanted.
         """
-        key = queries @ self.centroids.T
-        key[:, 0] = np.inf
-        for d in range(2, int(self.depth.max()) + 1):
-            at = np.flatnonzero(self.depth == d)
-            key[:, at] = np.minimum(key[:, at], key[:, self.parent[at]])
-        return key[:, self.leaves]
+        node = self.leaves if only is None else self.leaves[only]
+        key = queries @ self.centroids[node].T
+        above = self.parent[node]
+        while (above > 0).any():  # the root is popped first, whatever the query
+            nodes, at = np.unique(np.maximum(above, 0), return_inverse=True)
+            up = queries @ self.centroids[nodes].T
+            up[:, nodes == 0] = np.inf
+            np.minimum(key, up[:, at], out=key)
+            above = np.where(above > 0, self.parent[above], 0)
+        if not len(self.parent) > 1:
+            key[:] = np.inf
+        return key
 
     def walk(self, query: np.ndarray) -> Iterator[int]:
         """Leaf numbers in the order of a best-bin-first walk with a priority queue (the plain form of
@@ -251,9 +260,11 @@ class VectorSearch:
         self.leaves = len(tree.leaves)
         self.visits, keys = self._calibrate(tree)
         expected = np.bincount(tree.assign(fit), minlength=self.leaves) * (self.total / len(fit))
+        least = s.least_parts if self.total > s.whole_rows else 1
+        most = min(s.block_rows, math.ceil(1.02 * self.total / least))
         group, rows, groups = np.zeros(self.leaves, np.int64), 0.0, 0
         for leaf in range(self.leaves):
-            if rows and rows + expected[leaf] > s.block_rows:
+            if rows and rows + expected[leaf] > most:
                 groups, rows = groups + 1, 0.0
             group[leaf], rows = groups, rows + expected[leaf]
         groups += 1
@@ -261,7 +272,7 @@ class VectorSearch:
         bar = np.partition(keys, -self.visits, axis=1)[:, -self.visits]
         visiting = np.stack([(keys[:, group == g] >= bar[:, None]).any(axis=1).mean() for g in range(groups)])
         bound_n, bound = self._sample(s.bound_rows, 5)
-        return _Plan(tree, self.visits, group, np.maximum(1, np.ceil(sizes / s.block_rows)).astype(np.int64), np.maximum(1, np.ceil(visiting * self.total / s.chunk_rows)).astype(np.int64), bound_n, bound)
+        return _Plan(tree, self.visits, group, np.maximum(1, np.ceil(sizes / s.block_rows)).astype(np.int64), np.maximum(least, np.ceil(visiting * self.total / s.chunk_rows)).astype(np.int64), bound_n, bound)
 
     def _search(self) -> DataFrame:
         s = self.s
@@ -317,10 +328,10 @@ class VectorSearch:
             ends = np.append(starts[1:], len(leaf))
             q_n, q_all, bars, floors = queries["n"].to_numpy(), _floats(queries["half"], s.dimension, np.float16), queries["bar"].to_numpy(), queries["floor"].to_numpy()
             out = []
-            for a in range(0, len(q_n), 8192):
-                q, own, floor = q_all[a : a + 8192], q_n[a : a + 8192], floors[a : a + 8192]
+            for a in range(0, len(q_n), 16384):
+                q, own, floor = q_all[a : a + 16384], q_n[a : a + 16384], floors[a : a + 16384]
                 # the bars were set on full precision: leave the rounding of the shipped form some room
-                visit = p.tree.keys(q)[:, mine] >= bars[a : a + 8192, None] - 5e-4
+                visit = p.tree.keys(q, mine) >= bars[a : a + 16384, None] - 5e-4
                 hits_q, hits_n, hits_s = [], [], []
                 for m in range(len(mine)):
                     of = np.flatnonzero(visit[:, m])
@@ -356,37 +367,44 @@ class VectorSearch:
         best = F.slice(F.array_sort("near"), 1, 2 * s.k)
         return stage(merged.select("n", best.alias("near")), "neighbour-lists")
 
+    def _exact(self, near: DataFrame, at_least: float) -> DataFrame:
+        """(n, m, similarity) of the pairs of at least ``at_least``, from the full-precision vectors."""
+        dimension = self.s.dimension
+        pairs = stage(near.where(F.col("similarity") >= at_least - 2e-3).select("n", "m").distinct(), "near-pairs")
+        ends = broadcast_if_small(pairs.select("n").union(pairs.select("m")).distinct(), 16)
+        units = stage(self._rows.join(ends, "n", "left_semi").select("n", "unit"), "near-units")
+
+        @F.pandas_udf("double")
+        def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype="float64")
+            a, b = _floats(x, dimension).astype(np.float64), _floats(y, dimension).astype(np.float64)
+            return pd.Series(np.clip((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)), -1, 1))
+
+        left, right = units.select("n", F.col("unit").alias("x")), units.select(F.col("n").alias("m"), F.col("unit").alias("y"))
+        scored = pairs.join(left, "n").join(right, "m").select("n", "m", cosine("x", "y").alias("similarity"))
+        return scored.where(F.col("similarity") >= at_least)
+
     def neighbours(self, at_least: float | None = None) -> DataFrame:
         """(id, neighbour, similarity, rank): up to k rows per usable row, rank from 1.
 
-        ``at_least`` keeps only neighbours of at least that similarity; ranks are the same as without it.
-        Similarities are computed from the full-precision vectors.
+        ``at_least`` keeps only neighbours of at least that similarity, computed from the full-precision
+        vectors; ranks are the same as without it. Without it similarities are those of the search, which are right to 0.001.
         """
         s = self.s
         members = stage(self._members, "members")
         by_n = Window.partitionBy("n").orderBy("id")
         # k + 1 copies are enough for anyone's k neighbours: the rest tie with them at a higher key
         few = members.withColumn("c", F.row_number().over(by_n)).where(F.col("c") <= s.k + 1).drop("c")
-        few = stage(few.join(self._rows.select("n", "unit"), "n"), "few-copies")
+        few = stage(few, "few-copies")
         copied = few.groupBy("n").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("n")
         twins = members.join(few.join(copied, "n", "left_semi").select("n", F.col("id").alias("neighbour")), "n").where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("similarity"))
         if self._lists is None:
             found = twins
         else:
-            slack = F.lit(-2.0 if at_least is None else at_least - 2e-3)
-            pairs = self._lists.select("n", F.explode("near").alias("x")).where(-F.col("x.d") >= slack).select("n", F.col("x.m").alias("m")).distinct()
-            left = self._rows.select("n", F.col("unit").alias("left_unit"))
-            right = few.select(F.col("n").alias("m"), F.col("id").alias("neighbour"), F.col("unit").alias("right_unit"))
-            dimension = s.dimension
-
-            @F.pandas_udf("double")
-            def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-                if not len(x):
-                    return pd.Series([], dtype="float64")
-                a, b = _floats(x, dimension).astype(np.float64), _floats(y, dimension).astype(np.float64)
-                return pd.Series(np.clip((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)), -1, 1))
-
-            scored = pairs.join(right, "m").join(left, "n").select("n", "neighbour", cosine("left_unit", "right_unit").alias("similarity"))
+            near = self._lists.select("n", F.explode("near").alias("x")).select("n", F.col("x.m").alias("m"), (-F.col("x.d")).cast("double").alias("similarity"))
+            near = near.groupBy("n", "m").agg(F.max("similarity").alias("similarity")) if at_least is None else self._exact(near, at_least)
+            scored = near.join(few.select(F.col("n").alias("m"), F.col("id").alias("neighbour")), "m").select("n", "neighbour", "similarity")
             across = scored.join(members, "n").select("id", "neighbour", "similarity")
             found = twins.unionByName(across)
         if at_least is not None:
