@@ -11,8 +11,8 @@ what stands there. Expectation-maximization alternates between
 so weak evidence adds up within a record and across the records of a source. Each record is then repaired by its
 posterior chain.
 
-Spark cuts, counts and joins tokens; a distinct token is scored once. The character model is a table of hashed
-bigrams of fixed size, and so is what reaches the driver of it.
+Spark cuts, counts and joins tokens; a distinct token is scored once. The character model is a pair of hashed
+tables of bigrams of fixed size, and so is what reaches the driver of it.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import mix
 from tessera.runtime import broadcast_if_small, stage
 
-BIGRAMS, CHARS = 1 << 18, 1 << 16
+#: Slots of each of the two hash tables of bigrams, and of the table of characters.
+BIGRAMS, CHARS = 1 << 21, 1 << 16
 LOST = "lost"
 #: Priors of an undamaged record and of damage in general, before any evidence.
 FIRST_DAMAGE = 0.02
@@ -122,13 +124,16 @@ def tokens_of(text: Column) -> Column:
 
 
 class CharModel:
-    """A smoothed bigram model of the characters of clean tokens, hashed into tables of fixed size."""
+    """A smoothed bigram model of the characters of clean tokens.
+
+    Bigrams are counted in two hash tables of fixed size; the lesser count holds, so two bigrams are
+    confused only if they collide in both.
+    """
 
     def __init__(self, bigrams: np.ndarray, chars: np.ndarray):
-        self.bigrams, self.chars = np.maximum(bigrams, 0.0), np.maximum(chars, 0.0)
-        total = self.chars.sum()
-        unigram = (self.chars + 0.01) / (total + 0.01 * CHARS)
-        self._uni, self._ctx = unigram, self.chars
+        self._bigrams = np.maximum(bigrams, 0.0).astype(np.float32)
+        self._context = np.maximum(chars, 0.0).astype(np.float32)
+        self._alone = ((self._context + 0.01) / (self._context.sum(dtype=np.float64) + 0.01 * CHARS)).astype(np.float32)
 
     @staticmethod
     def codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,12 +143,16 @@ class CharModel:
         return codes[:-1], codes[1:], np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
     @staticmethod
-    def bucket(context: np.ndarray, char: np.ndarray) -> np.ndarray:
-        return ((context * 2_654_435_761 + char * 40_503) >> 3) % BIGRAMS
+    def buckets(context: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots in the first table and, behind it, in the second."""
+        h = mix((context.astype(np.uint64) << np.uint64(16)) + char.astype(np.uint64))
+        return (h & np.uint64(BIGRAMS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BIGRAMS - 1)).astype(np.int64) + BIGRAMS
 
     def each(self, context: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the characters in their contexts."""
-        return np.log((self.bigrams[self.bucket(context, char)] + 2.0 * self._uni[char]) / (self._ctx[context] + 2.0))
+        first, second = self.buckets(context, char)
+        seen = np.minimum(self._bigrams[first], self._bigrams[second])
+        return np.log((seen + 2.0 * self._alone[char]) / (self._context[context] + 2.0))
 
     def tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per token the log-probability and that of its least likely character."""
@@ -156,26 +165,27 @@ def _counted(weighted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Bigram and context tables of (token, weight), summed in Spark and of fixed size."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bigrams, chars = np.zeros(BIGRAMS), np.zeros(CHARS)
+        bigrams, chars = np.zeros(2 * BIGRAMS), np.zeros(CHARS)
         for batch in batches:
             tokens = batch["token"].tolist()
             if tokens:
                 context, char, _ = CharModel.codes(tokens)
                 weight = np.repeat(batch["weight"].to_numpy(np.float64), [len(t) + 1 for t in tokens])
-                bigrams += np.bincount(CharModel.bucket(context, char), weights=weight, minlength=BIGRAMS)
+                for slots in CharModel.buckets(context, char):
+                    np.add.at(bigrams, slots, weight)
                 chars += np.bincount(context, weights=weight, minlength=CHARS)
         both = np.concatenate([bigrams, chars])
         at = np.flatnonzero(both)
         yield pd.DataFrame({"slot": at.astype(np.int32), "weight": both[at]})
 
     summed = weighted.mapInPandas(count, "slot int, weight double").groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()
-    both = np.zeros(BIGRAMS + CHARS)
+    both = np.zeros(2 * BIGRAMS + CHARS)
     both[summed["slot"].to_numpy()] = summed["weight"].to_numpy()
-    return both[:BIGRAMS], both[BIGRAMS:]
+    return both[: 2 * BIGRAMS], both[2 * BIGRAMS :]
 
 
 #: A character less likely than this (natural log) makes a token suspicious.
-SURPRISE = -5.5
+SURPRISE = -3.5
 _STRAY = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
