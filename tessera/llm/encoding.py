@@ -66,6 +66,7 @@ def chains() -> dict[str, tuple[tuple[str, str], ...]]:
 
 
 CHAINS = chains()
+_UTF8_CHAINS = [name for name, steps in CHAINS.items() if steps[0][0] == "utf-8"]
 
 
 def _tables() -> dict[str, dict[str, bytes]]:
@@ -184,8 +185,9 @@ def _counted(weighted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return both[: 2 * BIGRAMS], both[2 * BIGRAMS :]
 
 
-#: A character less likely than this (natural log) makes a token suspicious.
-SURPRISE = -3.5
+#: A character less likely than this (natural log) makes a token suspicious of any chain. Misread UTF-8 is
+#: looked for in every token, as hardly any clean token happens to be valid UTF-8 once misread.
+SURPRISE = -5.5
 _STRAY = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
@@ -207,11 +209,10 @@ def score_tokens(vocabulary: DataFrame, model: CharModel, all_suspicious: bool =
             which, names, undone = [], [], []
             lost = []
             for n, token in enumerate(tokens):
-                if not (all_suspicious or least[n] < SURPRISE or _STRAY.search(token)):
-                    continue
-                if _STRAY.search(token):
-                    lost.append((token, LOST, 30.0 if "�" in token else 12.0, None))
-                for chain in CHAINS:
+                stray = _STRAY.search(token)
+                if stray:
+                    lost.append((token, LOST, 40.0 if "�" in token else 25.0, None))
+                for chain in CHAINS if all_suspicious or stray or least[n] < SURPRISE else _UTF8_CHAINS:
                     if (before := undo(token, chain)) is not None and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in before):
                         which.append(n)
                         names.append(chain)
@@ -244,14 +245,15 @@ def find_damage(records: DataFrame, rounds: int = 3, at_least: float = 0.5) -> R
     (back quotes around a word) is a quotation and no evidence. Of chains with equal posteriors the first by name.
     """
     texts = records.where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    cut = texts.select("kind", "key", "group", F.explode(tokens_of(F.col("text"))).alias("token"))
+    lists = texts.select("kind", "key", "group", tokens_of(F.col("text")).alias("tokens"))
+    cut = lists.select("kind", "key", "group", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     vocabulary = stage(cut.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
     base = _counted(vocabulary.select("token", F.col("n").alias("weight")))
     model = CharModel(*base)
     scores = stage(score_tokens(vocabulary, model), "scores")
     suspects = stage(scores.select("token").distinct(), "suspects")
     # rows of a record are few: a token counts up to three times
-    found = cut.join(broadcast_if_small(suspects, 256), "token").groupBy("kind", "key", "group", "token").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("n"))
+    found = cut.join(broadcast_if_small(suspects, 256), "token").groupBy("kind", "key", "group", "token").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("n"), F.count(F.lit(1)).alias("times"), F.max("length").alias("length"))
     found = stage(found, "evidence")
     sizes = records.groupBy("group").agg(F.count(F.lit(1)).alias("records"))
     sizes = stage(sizes, "groups")
@@ -273,13 +275,15 @@ def find_damage(records: DataFrame, rounds: int = 3, at_least: float = 0.5) -> R
 def _posteriors(found: DataFrame, scores: DataFrame, prior: DataFrame | None, most: int) -> DataFrame:
     """(kind, key, group, chain, posterior, damage) of every record with suspicious tokens."""
     by = ["kind", "key", "group"]
-    whole = found.groupBy(*by).agg(F.sum("n").alias("tokens"))
+    whole = found.groupBy(*by).agg(F.sum("n").alias("tokens"), F.max("length").alias("length"))
     log_mix = F.log(F.lit(1 - STRETCH) + F.lit(STRETCH) * F.exp(F.least("gain", F.lit(300.0))))
     per = found.join(scores, "token").groupBy(*by, "chain").agg(F.sum(F.col("n") * log_mix).alias("evidence"), F.sum("n").alias("explained"))
     same = lambda a, b: F.col(f"l.{a}").eqNullSafe(F.col(f"r.{b}"))
-    per = per.alias("l").join(whole.alias("r"), same("kind", "kind") & same("key", "key") & same("group", "group")).select("l.*", "r.tokens")
+    per = per.alias("l").join(whole.alias("r"), same("kind", "kind") & same("key", "key") & same("group", "group")).select("l.*", "r.tokens", "r.length")
     # tokens that the chain does not explain stand as clean ones inside the record
-    per = per.withColumn("evidence", F.col("evidence") + (F.col("tokens") - F.col("explained")) * F.log(F.lit(1 - STRETCH)))
+    inside = (F.col("tokens") - F.col("explained")) * F.log(F.lit(1 - STRETCH))
+    # and the stretch may begin and end anywhere
+    per = per.withColumn("evidence", F.col("evidence") + inside - 2 * F.log(F.col("length").cast("double")))
     if prior is None:
         per = per.withColumn("prior", F.lit(FIRST_DAMAGE / most))
     else:
@@ -308,7 +312,7 @@ def _without_damage(base: tuple[np.ndarray, np.ndarray], found: DataFrame, score
     """The counts with the expected damaged occurrences taken out. Their undone forms are not put in: that
     would let a wrong repair speak for itself in the next round."""
     same = F.col("f.kind").eqNullSafe(F.col("p.kind")) & F.col("f.key").eqNullSafe(F.col("p.key")) & F.col("f.group").eqNullSafe(F.col("p.group"))
-    each = found.alias("f").join(posterior.where("posterior > 0.01").alias("p"), same).select("f.token", "p.chain", (F.col("f.n") * F.col("p.posterior")).alias("w"))
+    each = found.alias("f").join(posterior.where("posterior > 0.01").alias("p"), same).select("f.token", "p.chain", (F.col("f.times") * F.col("p.posterior")).alias("w"))
     # within a damaged record a token is damaged as far as its own gain says
     odds = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least("gain", F.lit(30.0)), F.lit(-30.0))))
     damaged = stage(each.join(scores, ["token", "chain"]).groupBy("token").agg(F.sum(F.col("w") * odds).alias("weight")), "damaged-tokens")
