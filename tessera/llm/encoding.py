@@ -209,14 +209,15 @@ def score_tokens(vocabulary: DataFrame, model: CharModel, all_suspicious: bool =
             which, names, undone = [], [], []
             lost = []
             for n, token in enumerate(tokens):
-                stray = _STRAY.search(token)
-                if stray:
-                    lost.append((token, LOST, 40.0 if "�" in token else 25.0, None))
+                stray, undoable = _STRAY.search(token), len(which)
                 for chain in CHAINS if all_suspicious or stray or least[n] < SURPRISE else _UTF8_CHAINS:
                     if (before := undo(token, chain)) is not None and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in before):
                         which.append(n)
                         names.append(chain)
                         undone.append(before)
+                # control characters are lost text only where no chain explains them
+                if stray and ("�" in token or len(which) == undoable):
+                    lost.append((token, LOST, 40.0 if "�" in token else 25.0, None))
             rows = pd.DataFrame(lost, columns=["token", "chain", "gain", "undone"])
             if which:
                 # undone tokens may hold white space: its characters are scored like any others

@@ -1,8 +1,8 @@
 """Problem 5: the k most similar vectors of every vector, by a hierarchical k-means tree.
 
 The tree is fitted on the driver to a bounded sample; every row is indexed. A query walks the tree best
-bin first: a priority queue always pops the node whose centroid is nearest, so leaves are met in the
-order of the least similarity on their path. How many leaves a query visits is widened until the recall,
+bin first: a priority queue pops the node that can hold the most similar leaf centroid, by the angle to the
+node and the node's angular radius, so leaves are met in the order of their similarity. How many leaves a query visits is widened until the recall,
 measured against brute force over the whole table for a sample of queries, reaches the target.
 
 The search is a distributed join of queries with groups of neighbouring leaves. A task holds one block of
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import broadcast_if_small, stage
@@ -32,9 +32,9 @@ class SearchSettings:
     k: int = 10
     dimension: int = 64
     #: Rows at most that the tree is fitted to, and sampled rows per leaf.
-    fit_rows: int = 40_000
+    fit_rows: int = 80_000
     leaf_sample: int = 20
-    branching: int = 16
+    branching: int = 64
     #: Sampled queries that are answered by brute force to set the visits, and the recall they must reach.
     probe_queries: int = 256
     recall: float = 0.91
@@ -86,38 +86,38 @@ class KMeansTree:
         return KMeansTree(np.asarray(nodes, np.float32), np.asarray(parent), np.asarray(depth), np.asarray(order))
 
     def keys(self, queries: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
-        """(queries, leaves): the priority at which best-bin-first meets each leaf, highest first.
+        """(queries, leaves): the priority at which a best-bin-first walk meets each leaf, highest first.
 
-        A node is popped once everything nearer has been, and only after its ancestors: so its place in
-        the queue's order is the least similarity on its path. ``only`` names the leaves wanted.
+        As the bound of a node is never below the similarity of a leaf under it, the walk meets leaves in
+        the order of their own similarity: a batch of walks is a matrix product. ``only`` names the leaves wanted.
         """
-        node = self.leaves if only is None else self.leaves[only]
-        key = queries @ self.centroids[node].T
-        above = self.parent[node]
-        while (above > 0).any():  # the root is popped first, whatever the query
-            nodes, at = np.unique(np.maximum(above, 0), return_inverse=True)
-            up = queries @ self.centroids[nodes].T
-            up[:, nodes == 0] = np.inf
-            np.minimum(key, up[:, at], out=key)
-            above = np.where(above > 0, self.parent[above], 0)
-        if not len(self.parent) > 1:
-            key[:] = np.inf
-        return key
+        return queries @ self.centroids[self.leaves if only is None else self.leaves[only]].T
+
+    def radii(self) -> np.ndarray:
+        """Per node the largest angle between its centroid and that of a leaf under it."""
+        radius = np.zeros(len(self.parent))
+        for leaf in self.leaves.tolist():
+            node = int(self.parent[leaf])
+            while node >= 0:
+                radius[node] = max(radius[node], math.acos(float(np.clip(self.centroids[node] @ self.centroids[leaf], -1, 1))))
+                node = int(self.parent[node])
+        return radius
 
     def walk(self, query: np.ndarray) -> Iterator[int]:
-        """Leaf numbers in the order of a best-bin-first walk with a priority queue (the plain form of
+        """Leaf numbers in the order of one best-bin-first walk with a priority queue (the plain form of
         :meth:`keys`)."""
-        number = {int(node): n for n, node in enumerate(self.leaves)}
+        number, radius = {int(node): n for n, node in enumerate(self.leaves)}, self.radii()
         children: dict[int, list[int]] = {}
         for node, above in enumerate(self.parent.tolist()):
             children.setdefault(above, []).append(node)
-        queue = [(0.0, 0)]
+        queue = [(-1.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
             if node in number:
                 yield number[node]
             for c in children.get(node, ()):
-                heapq.heappush(queue, (-float(self.centroids[c] @ query), c))
+                angle = math.acos(float(np.clip(self.centroids[c] @ query, -1, 1)))
+                heapq.heappush(queue, (-math.cos(max(0.0, angle - radius[c])), c))
 
     def assign(self, rows: np.ndarray) -> np.ndarray:
         """The leaf of each row: at every node the nearest child."""
@@ -274,6 +274,20 @@ class VectorSearch:
         bound_n, bound = self._sample(s.bound_rows, 5)
         return _Plan(tree, self.visits, group, np.maximum(1, np.ceil(sizes / s.block_rows)).astype(np.int64), np.maximum(least, np.ceil(visiting * self.total / s.chunk_rows)).astype(np.int64), bound_n, bound)
 
+    def _labels(self, number: Column, tasks: int) -> Column:
+        """A label per task number such that each label hashes to a partition of its own.
+
+        Without it a hash of few tasks would put several into one partition and leave others empty. Of
+        very many tasks the plain numbers spread evenly enough.
+        """
+        if tasks > 5_000:
+            return number
+        spark = self._rows.sparkSession
+        labels = spark.range(40 * tasks).select(F.col("id").cast("int").alias("label")).withColumn("part", F.pmod(F.hash("label"), F.lit(tasks)))
+        of = {r.part: r.label for r in labels.groupBy("part").agg(F.min("label").alias("label")).collect()}
+        free = iter(range(40 * tasks, 41 * tasks))
+        return F.element_at(F.array(*[F.lit(of.get(t, None) if t in of else next(free)) for t in range(tasks)]), number + 1)
+
     def _search(self) -> DataFrame:
         s = self.s
         plan = self._rows.sparkSession.sparkContext.broadcast(self._plan())
@@ -329,18 +343,19 @@ class VectorSearch:
             q_n, q_all, bars, floors = queries["n"].to_numpy(), _floats(queries["half"], s.dimension, np.float16), queries["bar"].to_numpy(), queries["floor"].to_numpy()
             out = []
             for a in range(0, len(q_n), 16384):
-                q, own, floor = q_all[a : a + 16384], q_n[a : a + 16384], floors[a : a + 16384]
+                q, own, floor = q_all[a : a + 16384], q_n[a : a + 16384], floors[a : a + 16384] - np.float32(5e-4)
                 # the bars were set on full precision: leave the rounding of the shipped form some room
                 visit = p.tree.keys(q, mine) >= bars[a : a + 16384, None] - 5e-4
                 hits_q, hits_n, hits_s = [], [], []
                 for m in range(len(mine)):
                     of = np.flatnonzero(visit[:, m])
                     if len(of):
-                        sim = q[of] @ rows[starts[m] : ends[m]].T
-                        x, y = np.nonzero(sim >= floor[of, None] - 5e-4)
+                        sim = (rows[starts[m] : ends[m]] @ q[of].T).ravel()
+                        at = np.flatnonzero(sim >= np.tile(floor[of], ends[m] - starts[m]))
+                        y, x = np.divmod(at, len(of))
                         hits_q.append(of[x])
                         hits_n.append(number[starts[m] + y])
-                        hits_s.append(sim[x, y])
+                        hits_s.append(sim[at])
                 if hits_q:
                     hq, hn, hs = np.concatenate(hits_q), np.concatenate(hits_n), np.concatenate(hits_s)
                     other = own[hq] != hn
@@ -355,11 +370,13 @@ class VectorSearch:
                         out.append(pd.DataFrame({"n": own[which], "near_n": np.split(hn, begin[1:]), "near_s": np.split(hs, begin[1:])}))
             return pd.concat(out) if out else pd.DataFrame({"n": [], "near_n": [], "near_s": []})
 
-        where = ["g", "block", "chunk"]
         tasks = int((p.blocks * p.chunks).sum())
-        width = max(tasks, int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        asked, held = asked.repartition(width, *where), held.repartition(width, *where)
-        lists = asked.groupBy(*where).cogroup(held.groupBy(*where)).applyInPandas(scan, "n bigint, near_n array<bigint>, near_s array<float>")
+        first = np.concatenate([[0], np.cumsum(p.blocks * p.chunks)[:-1]])
+        number = (at(first, g) + F.col("block") * at(p.chunks, g) + F.col("chunk")).cast("int")
+        label = self._labels(number, tasks)
+        asked = asked.select("n", "half", "bar", "floor", label.alias("task")).repartition(tasks, "task")
+        held = held.select("m", "row", "of_leaf", label.alias("task")).repartition(tasks, "task")
+        lists = asked.groupBy("task").cogroup(held.groupBy("task")).applyInPandas(scan, "n bigint, near_n array<bigint>, near_s array<float>")
         lists = lists.unionByName(routed.select("n", "near_n", "near_s"))
         zipped = lists.select("n", F.zip_with("near_s", "near_n", lambda sim, n: F.struct((-sim).alias("d"), n.alias("m"))).alias("near"))
         merged = zipped.groupBy("n").agg(F.flatten(F.collect_list("near")).alias("near"))
