@@ -27,7 +27,7 @@ def document_metadata(results: DataFrame, rank: str = "rank") -> DataFrame:
     pages, low, high = F.count("page_number"), F.min("page_number"), F.max("page_number")
     label = F.when(pages == 1, F.concat(F.lit("PDF page "), low)).when(pages > 1, F.concat(F.lit("PDF pages "), low, F.lit("-"), high))
     return keyed.groupBy("query_id", "document").agg(
-        F.min_by(F.coalesce("book_title", "label"), rank).alias("title"), F.min_by(preview(F.col("text"), 100), rank).alias("preview"), label.alias("page_label")
+        F.min_by(F.coalesce("book_title", "label"), F.struct(rank, "id")).alias("title"), F.min_by(preview(F.col("text"), 100), F.struct(rank, "id")).alias("preview"), label.alias("page_label")
     )
 
 

@@ -22,5 +22,5 @@ def expand(hits: DataFrame, chunks: DataFrame, offset: int = 2, by: tuple[str, .
     The ranges are written out as indexes, so the fetch is an equi-join on (book, index) and not a range join. ``by`` must
     hold ``parsed_book_id``; further columns (a query id) keep their ranges apart.
     """
-    wanted = merged_ranges(hits, offset, by).select(*by, F.explode(F.sequence("low", "high")).cast("int").alias("chunk_index"))
+    wanted = merged_ranges(hits, offset, by).select(*by, F.explode(F.transform(F.sequence("low", "high"), lambda i: i.cast("int"))).alias("chunk_index"))
     return wanted.join(chunks, ["parsed_book_id", "chunk_index"])

@@ -1,4 +1,4 @@
-"""The registered queries of the engine and their SQL."""
+"""All registered queries of the engine and their SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import citing, ingesting, library, register, retrieval
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return retrieval.prepare_context(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(register.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(register.SQL)
+
+
+_ = (citing, ingesting, library)
