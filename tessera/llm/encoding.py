@@ -18,8 +18,7 @@ tables of bigrams of fixed size, and so is what reaches the driver of it.
 from __future__ import annotations
 
 import re
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,6 +85,19 @@ def _tables() -> dict[str, dict[str, bytes]]:
 
 
 _TABLES = _tables()
+_ALPHABETS = {name: frozenset(table) if table else frozenset(map(chr, range(256))) for name, table in _TABLES.items()}
+_PLAIN = frozenset(map(chr, range(128)))
+#: Control and private characters, which no repaired text holds.
+_UNFIT = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ue000-\uf8ff]")
+
+
+def possible(token: str, names: Iterable[str]) -> Iterator[tuple[str, str]]:
+    """(chain, undone) of the chains among ``names`` that the token may have gone through."""
+    special = frozenset(token) - _PLAIN
+    fits = {wrong: alphabet >= special for wrong, alphabet in _ALPHABETS.items()}
+    for chain in names:
+        if fits.get(CHAINS[chain][-1][1], True) and (before := undo(token, chain)) is not None and not _UNFIT.search(before):
+            yield chain, before
 
 
 def _bytes(text: str, wrong: str) -> bytes:
@@ -119,9 +131,13 @@ def undo(text: str, chain: str) -> str | None:
 
 
 def tokens_of(text: Column) -> Column:
-    """The tokens with other than ASCII characters, hyphens at line ends undone, inline code left out."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?<=\S)-\r?\n", ""), r"`[^`\s]{1,40}`", " ")
-    return F.filter(F.split(plain, r"[ \t\r\n]+|(?<=[。、])"), lambda t: t.rlike(r"[^\x00-\x7F]"))
+    """The tokens with other than ASCII characters, hyphens at line ends undone, inline code left out.
+
+    A token ends at white space and after an ideographic comma or full stop.
+    """
+    plain = F.replace(F.replace(text, F.lit("-\r\n"), F.lit("")), F.lit("-\n"), F.lit(""))
+    plain = F.when(F.contains(plain, F.lit("`")), F.regexp_replace(plain, r"`[^`\s]{1,40}`", " ")).otherwise(plain)
+    return F.regexp_extract_all(plain, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x21-\x7F]*+[^\x00-\x7F][^ \t\r\n、。]*+[、。]?"), F.lit(0))
 
 
 class CharModel:
@@ -191,11 +207,11 @@ SURPRISE = -5.5
 _STRAY = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
-def score_tokens(vocabulary: DataFrame, model: CharModel, all_suspicious: bool = False) -> DataFrame:
-    """(token, chain, gain, undone) for every chain that a suspicious token may have gone through.
+def undone_tokens(vocabulary: DataFrame, model: CharModel) -> DataFrame:
+    """(token, chain, undone, gain) for every chain that a suspicious token may have gone through.
 
     ``gain`` is the log-likelihood ratio of the undone token to the token as it stands. A token with the
-    replacement character or with stray control characters also has the chain ``lost``.
+    replacement character, or with stray control characters that no chain explains, has the chain ``lost``.
     """
     sent = vocabulary.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
@@ -209,24 +225,47 @@ def score_tokens(vocabulary: DataFrame, model: CharModel, all_suspicious: bool =
             which, names, undone = [], [], []
             lost = []
             for n, token in enumerate(tokens):
-                stray, undoable = _STRAY.search(token), len(which)
-                for chain in CHAINS if all_suspicious or stray or least[n] < SURPRISE else _UTF8_CHAINS:
-                    if (before := undo(token, chain)) is not None and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in before):
-                        which.append(n)
-                        names.append(chain)
-                        undone.append(before)
-                # control characters are lost text only where no chain explains them
-                if stray and ("�" in token or len(which) == undoable):
-                    lost.append((token, LOST, 40.0 if "�" in token else 25.0, None))
-            rows = pd.DataFrame(lost, columns=["token", "chain", "gain", "undone"])
+                stray, before = _STRAY.search(token), len(which)
+                surprising = stray or least[n] < SURPRISE
+                for chain, text in possible(token, CHAINS if surprising or any(True for _ in possible(token, _UTF8_CHAINS)) else ()):
+                    which.append(n)
+                    names.append(chain)
+                    undone.append(text)
+                if stray and ("�" in token or len(which) == before):
+                    lost.append((token, LOST, None, 40.0 if "�" in token else 25.0))
+            rows = [pd.DataFrame(lost, columns=["token", "chain", "undone", "gain"])] if lost else []
             if which:
-                # undone tokens may hold white space: its characters are scored like any others
-                gain = model.tokens([u.replace(" ", "\xa0") for u in undone])[0] - likely[which]
-                found = pd.DataFrame({"token": [tokens[n] for n in which], "chain": names, "gain": gain, "undone": undone})
-                rows = pd.concat([rows, found[found["gain"] > -2]]) if len(rows) else found[found["gain"] > -2]
-            yield rows
+                found = pd.DataFrame({"token": [tokens[n] for n in which], "chain": names, "undone": undone})
+                rows.append(found.assign(gain=_likelihood(model, undone) - likely[which] + _strays(found["token"])))
+            if rows:
+                yield pd.concat(rows)
+
+    return vocabulary.select("token").mapInPandas(score, "token string, chain string, undone string, gain double")
+
+
+def _likelihood(model: CharModel, texts: list[str]) -> np.ndarray:
+    # undone tokens may hold white space: it is scored like any other character
+    return model.tokens([t.replace(" ", "\xa0") for t in texts])[0]
+
+
+def _strays(tokens: Iterable[str]) -> np.ndarray:
+    """Control characters are next to impossible in clean text, however many the corpus has of them."""
+    return np.array([6.0 * len(_STRAY.findall(t)) for t in tokens])
+
+
+def rescored(undone: DataFrame, model: CharModel) -> DataFrame:
+    """The same rows with their gains under another model."""
+    sent = undone.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known = batch["chain"] != LOST
+            some = batch[known]
+            if len(some):
+                batch.loc[known, "gain"] = _likelihood(sent.value, some["undone"].tolist()) - sent.value.tokens(some["token"].tolist())[0] + _strays(some["token"])
+            yield batch
 
-    return vocabulary.select("token").mapInPandas(score, "token string, chain string, gain double, undone string")
+    return undone.mapInPandas(score, undone.schema)
 
 
 @dataclass(frozen=True)
@@ -246,13 +285,15 @@ def find_damage(records: DataFrame, rounds: int = 3, at_least: float = 0.5) -> R
     (back quotes around a word) is a quotation and no evidence. Of chains with equal posteriors the first by name.
     """
     texts = records.where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    lists = texts.select("kind", "key", "group", tokens_of(F.col("text")).alias("tokens"))
+    lists = stage(texts.select("kind", "key", "group", tokens_of(F.col("text")).alias("tokens")), "tokens")
     cut = lists.select("kind", "key", "group", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     vocabulary = stage(cut.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
     base = _counted(vocabulary.select("token", F.col("n").alias("weight")))
-    model = CharModel(*base)
-    scores = stage(score_tokens(vocabulary, model), "scores")
-    suspects = stage(scores.select("token").distinct(), "suspects")
+    likely = F.col("gain") > -2
+    undone = stage(undone_tokens(vocabulary, CharModel(*base)), "undone")
+    suspects = stage(undone.where(likely).select("token").distinct(), "suspects")
+    undone = stage(undone.join(broadcast_if_small(suspects, 256), "token", "left_semi"), "undone-suspects")
+    scores = undone.where(likely)
     # rows of a record are few: a token counts up to three times
     found = cut.join(broadcast_if_small(suspects, 256), "token").groupBy("kind", "key", "group", "token").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("n"), F.count(F.lit(1)).alias("times"), F.max("length").alias("length"))
     found = stage(found, "evidence")
@@ -266,7 +307,7 @@ def find_damage(records: DataFrame, rounds: int = 3, at_least: float = 0.5) -> R
         prior = stage(_priors(posterior, sizes, most), "priors")
         if n + 1 < rounds:
             model = CharModel(*_without_damage(base, found, scores, posterior))
-            scores = stage(score_tokens(suspects, model, all_suspicious=True), "scores")
+            scores = stage(rescored(undone, model).where(likely), "scores")
     damaged = posterior.where(F.col("damage") >= at_least).groupBy("kind", "key").agg(
         F.first("group").alias("group"), F.max_by("chain", F.struct("posterior", -F.hash("chain"))).alias("chain"), F.max("damage").alias("posterior")
     )
