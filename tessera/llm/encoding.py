@@ -11,7 +11,7 @@ what stands there. Expectation-maximization alternates between
 so weak evidence adds up within a record and across the records of a source. Each record is then repaired by its
 posterior chain.
 
-Spark cuts, counts and joins tokens; a distinct token is scored once. The character model is a pair of hashed
+Spark counts and joins tokens; a record is cut once and a distinct token scored once. The character model is a pair of hashed
 tables of bigrams of fixed size, and so is what reaches the driver of it.
 """
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import mix
@@ -112,7 +112,7 @@ def _bytes(text: str, wrong: str) -> bytes:
 
 def undo(text: str, chain: str) -> str | None:
     """What ``text`` was before ``chain``, or None if that cannot be. Up to a tenth of it may stay unreadable (U+FFFD)
-    where characters were cut apart."""
+    where characters were cut apart, if far more was restored."""
     for true, wrong in reversed(CHAINS[chain]):
         try:
             raw = _bytes(text, wrong)
@@ -122,7 +122,8 @@ def undo(text: str, chain: str) -> str | None:
             undone = raw.decode(true)
         except UnicodeDecodeError:
             undone = raw.decode(true, "replace")
-            if undone.count("�") > max(1, len(undone) // 10) or len(undone) < 8:
+            unread, restored = undone.count("�"), sum(c > "\x7f" and c != "�" for c in undone)
+            if unread > max(1, len(undone) // 10) or restored < 4 * unread:
                 return None
         if undone == text:
             return None
@@ -130,14 +131,32 @@ def undo(text: str, chain: str) -> str | None:
     return text
 
 
-def tokens_of(text: Column) -> Column:
+_CODE = re.compile(r"`[^`\s]{1,40}`")
+_CUT = re.compile(r"[ \t\r\n]+|(?<=[、。])")
+
+
+def tokens_of(text: str) -> list[str]:
     """The tokens with other than ASCII characters, hyphens at line ends undone, inline code left out.
 
     A token ends at white space and after an ideographic comma or full stop.
     """
-    plain = F.replace(F.replace(text, F.lit("-\r\n"), F.lit("")), F.lit("-\n"), F.lit(""))
-    plain = F.when(F.contains(plain, F.lit("`")), F.regexp_replace(plain, r"`[^`\s]{1,40}`", " ")).otherwise(plain)
-    return F.regexp_extract_all(plain, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x21-\x7F]*+[^\x00-\x7F][^ \t\r\n、。]*+[、。]?"), F.lit(0))
+    text = text.replace("-\r\n", "").replace("-\n", "")
+    if "`" in text:
+        text = _CODE.sub(" ", text)
+    return [t for t in _CUT.split(text) if not t.isascii()]
+
+
+def token_lists(records: DataFrame) -> DataFrame:
+    """(kind, key, group, tokens) of the records whose text is not plain ASCII."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"kind": batch["kind"], "key": batch["key"], "group": batch["group"], "tokens": [tokens_of(t) for t in batch["text"]]})
+
+    # more bytes than characters: some character is not ASCII
+    special = records.select("kind", "key", "group", "text").where(F.octet_length("text") > F.length("text"))
+    kinds = dict(records.dtypes)
+    return special.mapInPandas(cut, ", ".join(f"{c} {kinds[c]}" for c in ("kind", "key")) + f", `group` {kinds['group']}, tokens array<string>")
 
 
 class CharModel:
@@ -284,8 +303,7 @@ def find_damage(records: DataFrame, rounds: int = 3, at_least: float = 0.5) -> R
     once per (kind, key). Very long texts are read whole. An empty table gives an empty result. Text inside inline code
     (back quotes around a word) is a quotation and no evidence. Of chains with equal posteriors the first by name.
     """
-    texts = records.where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    lists = stage(texts.select("kind", "key", "group", tokens_of(F.col("text")).alias("tokens")), "tokens")
+    lists = stage(token_lists(records), "tokens")
     cut = lists.select("kind", "key", "group", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     vocabulary = stage(cut.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
     base = _counted(vocabulary.select("token", F.col("n").alias("weight")))

@@ -378,7 +378,8 @@ class VectorSearch:
         held = held.select("m", "row", "of_leaf", label.alias("task")).repartition(tasks, "task")
         lists = asked.groupBy("task").cogroup(held.groupBy("task")).applyInPandas(scan, "n bigint, near_n array<bigint>, near_s array<float>")
         lists = lists.unionByName(routed.select("n", "near_n", "near_s"))
-        zipped = lists.select("n", F.zip_with("near_s", "near_n", lambda sim, n: F.struct((-sim).alias("d"), n.alias("m"))).alias("near"))
+        # a similarity of -2 marks the row itself in the sample
+        zipped = lists.select("n", F.filter(F.zip_with("near_s", "near_n", lambda sim, n: F.struct((-sim).alias("d"), n.alias("m"))), lambda x: x["d"] < 1.5).alias("near"))
         merged = zipped.groupBy("n").agg(F.flatten(F.collect_list("near")).alias("near"))
         # a row found both in the sample and in its leaf has two entries; 2k of them hold k different ones
         best = F.slice(F.array_sort("near"), 1, 2 * s.k)
