@@ -172,10 +172,10 @@ def token_validity_join(spark, sf_dir):
 
 
 @query(
-    """SELECT b.id, coalesce(NULLIF(regexp_replace(b.title, '^[\\s\\v]+|[\\s\\v]+$', '', 'g'), ''), list_extract(string_split(b.source_file_path, '/'), -1)) AS title, sha256(b.source_file_path) AS path_hash, TRY_CAST(NULLIF(regexp_extract(b.isbn, '^([+-]?\\d+)', 1), '') AS BIGINT) AS isbn_prefix
+    """SELECT b.id, coalesce(NULLIF(regexp_replace(b.title, '^[\\s\\v]+|[\\s\\v]+$', '', 'g'), ''), list_extract(string_split(b.source_file_path, '/'), -1)) AS title, sha256(b.source_file_path) AS path_hash, coalesce(TRY_CAST(NULLIF(regexp_extract(b.isbn, '^([+-]?\\d+)', 1), '') AS BIGINT), -1) AS isbn_prefix
     FROM parsed_books b"""
 )
 def book_fields(spark, sf_dir):
     rows = books(spark, sf_dir)
     title = textops.title_or_fallback(F.col("title"), F.lit(None).cast("string"), F.col("source_file_path"))
-    return rows.select("id", title.alias("title"), textops.file_hash(F.col("source_file_path")).alias("path_hash"), textops.leading_int(F.col("isbn")).alias("isbn_prefix"))
+    return rows.select("id", title.alias("title"), textops.file_hash(F.col("source_file_path")).alias("path_hash"), F.coalesce(textops.leading_int(F.col("isbn")), F.lit(-1)).alias("isbn_prefix"))
