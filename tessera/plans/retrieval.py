@@ -145,13 +145,12 @@ def bm25_topk(spark, sf_dir):
     return search.keyword(documents(spark, sf_dir, "id", "title", "text"), _text_queries(spark, sf_dir), DOCS.fields).select("query_id", "id", "score", "rank")
 
 
-@query("SELECT b.item_id AS query_id, a.id, 3.0::DOUBLE AS score FROM parsed_documents a JOIN (SELECT row_number() OVER (ORDER BY title) AS item_id, title FROM (SELECT DISTINCT title FROM parsed_documents WHERE package = 'corelib' AND title IS NOT NULL)) b ON a.title = b.title")
+@query("SELECT b.title AS query_id, a.id, 3.0::DOUBLE AS score FROM parsed_documents a JOIN (SELECT DISTINCT title FROM parsed_documents WHERE package = 'corelib' AND title IS NOT NULL) b ON a.title = b.title")
 def title_exact_boost(spark, sf_dir):
     """Titles are keywords: the titles of one package, asked against all titles."""
     docs = documents(spark, sf_dir, "id", "title", "package")
-    titles = docs.where("package = 'corelib' and title is not null").select(F.col("title").alias("text")).distinct()
-    numbered = titles.select(F.expr("row_number() over (order by text)").cast("bigint").alias("query_id"), "text")
-    return lexical.title_boost(docs, numbered, 3.0)
+    titles = docs.where("package = 'corelib' and title is not null").select(F.col("title").alias("query_id"), F.col("title").alias("text")).distinct()
+    return lexical.title_boost(docs, titles, 3.0)
 
 
 @query(

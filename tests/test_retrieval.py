@@ -93,6 +93,16 @@ def test_knn_against_brute_force(spark):
     assert vector.knn(units.limit(0), queries, 5).count() == 0 and vector.knn(units, queries.limit(0), 5).count() == 0
 
 
+def test_grid_of_blocks_gives_the_same(spark, monkeypatch):
+    rows = [(i, [float(i % 11), float(i % 5), 1.0]) for i in range(90)]
+    units = spark.createDataFrame(rows, "id int, embedding array<double>")
+    queries = units.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = vector.knn(units, queries, 4).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(vector, "UNIT_BLOCK", 25)
+    assert vector.knn(units, queries, 4).orderBy("query_id", "rank").collect() == want and len(want) == 360
+
+
 def test_hybrid_never_adds_rows_and_title_is_exact(spark):
     units = spark.createDataFrame([(1, "alpha beta", "alpha", [1.0, 0.0]), (2, "alpha", "x", [0.0, 1.0]), (3, "beta beta", "alpha", [0.9, 0.1])], "id int, text string, title string, embedding array<double>")
     queries = spark.createDataFrame([(1, "alpha", [1.0, 0.0])], "query_id int, text string, vector array<double>")
