@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import encoding, leakage, mixing, neardup, reading, splitting, tokens, vectors
 from tessera.runtime import broadcast_if_small
-from tessera.sources.tables import table
+from tessera.sources.tables import spread_table, table
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -81,7 +81,7 @@ def p4_book_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = leakage.excerpts(table(spark, sf_dir, "eval_items", "item_id", "text"))
-    return leakage.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), items)
+    return leakage.find_leaks(spread_table(spark, sf_dir, "documents", "doc_id", "text"), items)
 
 
 @query()
@@ -100,7 +100,7 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
-    return neardup.NearDuplicates(table(spark, sf_dir, "parsed_documents", "id", "text"), threshold=0.6, shingle=3, min_words=20)
+    return neardup.NearDuplicates(spread_table(spark, sf_dir, "parsed_documents", "id", "text"), threshold=0.6, shingle=3, min_words=20)
 
 
 @query()
@@ -119,7 +119,7 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vector_search(spark: SparkSession, sf_dir: str) -> vectors.VectorSearch:
-    return vectors.VectorSearch(table(spark, sf_dir, "parsed_documents", "id", "embedding"))
+    return vectors.VectorSearch(spread_table(spark, sf_dir, "parsed_documents", "id", "embedding"))
 
 
 @query()
@@ -145,20 +145,20 @@ def _merge_tokenizer(spark: SparkSession, sf_dir: str) -> tokens.MergeTokenizer:
 @query()
 def p2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all and of usable texts by source, language and host."""
-    docs = table(spark, sf_dir, "parsed_documents", "id", "text", "source", "language", "url")
+    docs = spread_table(spark, sf_dir, "parsed_documents", "id", "text", "source", "language", "url")
     return tokens.token_totals(docs, _merge_tokenizer(spark, sf_dir))
 
 
 @query()
 def p2_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every record's text."""
-    return tokens.count_tokens(table(spark, sf_dir, "parsed_documents", "id", "text"), _merge_tokenizer(spark, sf_dir))
+    return tokens.count_tokens(spread_table(spark, sf_dir, "parsed_documents", "id", "text"), _merge_tokenizer(spark, sf_dir))
 
 
 @query()
 def p2_public_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same totals under a public vocabulary of 50 k tokens."""
-    docs = table(spark, sf_dir, "parsed_documents", "id", "text", "source", "language", "url")
+    docs = spread_table(spark, sf_dir, "parsed_documents", "id", "text", "source", "language", "url")
     return tokens.token_totals(docs, tokens.RankTokenizer(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
 
 
@@ -166,7 +166,7 @@ def p2_public_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.SourceMix:
-    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "source", "text")
     counted = tokens.count_tokens(docs, tokens.RankTokenizer(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), "doc_id")
     return mixing.SourceMix(docs.select("doc_id", "source").join(counted, "doc_id"), table(spark, sf_dir, "mix_targets"))
 
@@ -193,7 +193,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     return reading.reading_levels(docs, reading.fit_on_ratings(docs, table(spark, sf_dir, "reading_ratings", "doc_id", "school_years")))
 
 
@@ -216,7 +216,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and titles in one table; a group is a field of the books of one folder."""
     folder = F.regexp_extract("source_file_path", r"^(.*)/", 1)
     books = table(spark, sf_dir, "parsed_books", "id", "title", "source_file_path").withColumn("folder", folder)
-    pages = table(spark, sf_dir, "page_contents", "page_id", "parsed_book_id", "text")
+    pages = spread_table(spark, sf_dir, "page_contents", "page_id", "parsed_book_id", "text")
     of = books.select(F.col("id").alias("parsed_book_id"), "folder")
     pages = pages.join(broadcast_if_small(of, 128), "parsed_book_id", "left")
     return pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("key"), F.concat(F.lit("page:"), "folder").alias("group"), "text").unionByName(
