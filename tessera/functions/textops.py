@@ -32,7 +32,7 @@ def preview(c: Column, most: int = 200) -> Column:
 
 def terms(c: Column) -> Column:
     """Search terms: lower case, cut at everything but letters and digits, no stemming."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def file_hash(c: Column) -> Column:

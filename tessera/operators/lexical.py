@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.textops import terms
-from tessera.runtime import broadcast_if_small
+from tessera.runtime import broadcast_if_small, stage
 
 # The usual constants of the published formula.
 K1, B = 1.2, 0.75
@@ -26,8 +26,9 @@ def postings(units: DataFrame, wanted: DataFrame, unit: str = "id", text: str =
 
 def bm25(units: DataFrame, queries: DataFrame, unit: str = "id", text: str = "text") -> DataFrame:
     """(query_id, id, score) of every unit that holds a term of the query; scores rounded to six digits."""
-    asked = query_terms(queries)
-    index = postings(units, asked, unit, text)
+    asked = stage(query_terms(queries), "query-terms")
+    # the wanted postings are a small part of the texts: written once, they serve the frequencies and the scores
+    index = stage(postings(units, asked, unit, text), "postings")
     whole = units.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col(text)))).alias("mean"))
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = frequency.join(F.broadcast(whole)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

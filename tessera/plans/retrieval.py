@@ -9,7 +9,7 @@ from tessera.functions.vectors import cosine
 from tessera.operators import candidates, corpus, expand, lexical, rank, search, vector
 from tessera.plans.library import CHUNKS_SQL, chunks, documents
 from tessera.plans.register import query
-from tessera.sources.tables import table
+from tessera.sources.tables import spread_table, table
 from tessera.spec import CorpusSpec
 
 DOCS = CorpusSpec("docs", {"title": 3.0, "text": 1.0})
@@ -142,7 +142,7 @@ _BM25_SQL = """
     f"WITH {_BM25_SQL} SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25) WHERE rank <= 30"
 )
 def bm25_topk(spark, sf_dir):
-    return search.keyword(documents(spark, sf_dir, "id", "title", "text"), _text_queries(spark, sf_dir), DOCS.fields).select("query_id", "id", "score", "rank")
+    return search.keyword(spread_table(spark, sf_dir, "parsed_documents", "id", "title", "text"), _text_queries(spark, sf_dir), DOCS.fields).select("query_id", "id", "score", "rank")
 
 
 @query("SELECT b.title AS query_id, a.id, 3.0::DOUBLE AS score FROM parsed_documents a JOIN (SELECT DISTINCT title FROM parsed_documents WHERE package = 'corelib' AND title IS NOT NULL) b ON a.title = b.title")
@@ -166,7 +166,7 @@ def hybrid_topk(spark, sf_dir):
     asked = _text_queries(spark, sf_dir)
     numbered = asked.select("query_id", "text", (F.expr("row_number() over (order by query_id)") - 1).cast("bigint").alias("vec_id"))
     queries = numbered.join(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id").select("query_id", "text", F.col("embedding").alias("vector"))
-    return search.hybrid(documents(spark, sf_dir, "id", "title", "text", "embedding"), queries, DOCS.fields)
+    return search.hybrid(spread_table(spark, sf_dir, "parsed_documents", "id", "title", "text", "embedding"), queries, DOCS.fields)
 
 
 _HITS_SQL = "hits AS (SELECT query_id, CAST(id AS BIGINT) AS id, rank FROM (SELECT l_orderkey AS query_id, l_partkey AS id, l_linenumber AS rank FROM lineitem))"

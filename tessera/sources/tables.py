@@ -9,3 +9,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """The table ``name`` under ``sf_dir``; ``columns`` prunes the scan."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The table for work that is heavy per row: where its files give fewer tasks than there are cores (one small
+    file, one row group), the rows are dealt out once. A table of many files is read as it lies."""
+    df = table(spark, sf_dir, name, *columns)
+    cores = spark.sparkContext.defaultParallelism
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    at = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    count = at.getContentSummary(files).getFileCount()
+    return df.repartition(cores) if count < cores else df
