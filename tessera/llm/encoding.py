@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,7 @@ def chains() -> dict[str, tuple[tuple[str, str], ...]]:
 
 CHAINS = chains()
 _UTF8_CHAINS = [name for name, steps in CHAINS.items() if steps[0][0] == "utf-8"]
+_LEGACY_CHAINS = [name for name in CHAINS if name not in _UTF8_CHAINS]
 
 
 def _tables() -> dict[str, dict[str, bytes]]:
@@ -95,8 +97,15 @@ def possible(token: str, names: Iterable[str]) -> Iterator[tuple[str, str]]:
     """(chain, undone) of the chains among ``names`` that the token may have gone through."""
     special = frozenset(token) - _PLAIN
     fits = {wrong: alphabet >= special for wrong, alphabet in _ALPHABETS.items()}
+    touches = {wrong: len(alphabet & special) for wrong, alphabet in _ALPHABETS.items()}
     for chain in names:
-        if fits.get(CHAINS[chain][-1][1], True) and (before := undo(token, chain)) is not None and not _UNFIT.search(before):
+        wrong = CHAINS[chain][-1][1]
+        if not touches.get(wrong, True):
+            continue
+        before = undo(token, chain) if fits.get(wrong, True) else None
+        if before is None:
+            before = undo_stretches(token, chain)
+        if before is not None and not _UNFIT.search(before):
             yield chain, before
 
 
@@ -131,6 +140,89 @@ def undo(text: str, chain: str) -> str | None:
     return text
 
 
+# What one character other than ASCII is in the bytes of an encoding (as Latin-1 text); in single-byte ones, one byte.
+_SEQUENCES = {
+    "utf-8": "[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}",
+    "cp932": "[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]",
+    "euc_jp": "\x8e[\xa1-\xdf]|\x8f[\xa1-\xfe]{2}|[\xa1-\xfe]{2}",
+    "gbk": "[\x81-\xfe][\x40-\x7e\x80-\xfe]",
+}
+_SINGLE = "[\x80-\xff]"
+#: Stands for a character that the misreading code page has not.
+_FOREIGN = "\u0100"
+
+
+def _runs() -> dict[tuple[str, str], re.Pattern]:
+    """(true, misread as) -> runs of whole characters of the one, spelt in the characters of the other if that is single-byte."""
+    out = {}
+    for true, wrong in {step for steps in CHAINS.values() for step in steps}:
+        one = _SEQUENCES.get(true, _SINGLE)
+        if wrong in _TABLES:
+            of = {}
+            for char in _ALPHABETS[wrong]:
+                of.setdefault(_bytes(char, wrong)[0], []).append(char)
+
+            def spelt(m: re.Match) -> str:
+                held = [c for b in range(256) if re.match(m[0], chr(b)) for c in of.get(b, ())]
+                return "[" + "".join(map(re.escape, held)) + "]"
+
+            one = re.sub(r"\[[^]]+\]|[\x80-\xff]", spelt, one)
+        out[true, wrong] = re.compile(f"(?:[\x00-\x7f]*(?:{one}))+")
+    return out
+
+
+_RUNS = _runs()
+
+
+def stretches(text: str, true: str, wrong: str) -> list[tuple[int, int]]:
+    """(start, end) of the maximal runs of characters of ``wrong`` in ``text`` that are whole characters of ``true``.
+
+    What chance brings about in clean text is left out: where all characters are of the code page, a lone pair (but for
+    those of Latin-1 that touch no other such character), and in a multi-byte page, which holds clean text as well, less
+    than nine bytes. Next to a character that is lost (U+FFFD) nothing is whole.
+    """
+    if "�" in text:
+        return []
+    run = _RUNS[true, wrong]
+    if wrong in _TABLES:
+        found = [m.span() for m in run.finditer(text)]
+        least = 3 if found and _ALPHABETS[wrong].issuperset(c for c in text if c > "\x7f") else 2
+        return [(a, b) for a, b in found if sum(c > "\x7f" for c in text[a:b]) >= least or true == "utf-8" and _lone(text, a, b, wrong)]
+    if not any(m.end() - m.start() >= 9 for m in run.finditer(text.encode(wrong, "ignore").decode("latin-1"))):
+        return []
+    parts = [c.encode(wrong, "ignore").decode("latin-1") or _FOREIGN for c in text]
+    raw, ends = "".join(parts), [0, *accumulate(map(len, parts))]
+    # runs begin and end where characters do
+    at, found, place = {end: n for n, end in enumerate(ends)}, [], 0
+    while place < len(parts):
+        m = run.match(raw, ends[place])
+        while m and m.end() not in at:
+            m = run.match(raw, ends[place], m.end() - 1)
+        if m and sum(c > "\x7f" for c in m[0]) >= 9:
+            found.append((place, at[m.end()]))
+        place = at[m.end()] if m else place + 1
+    return found
+
+
+def _lone(text: str, start: int, end: int, wrong: str) -> bool:
+    """Whether the run ends in a pair for one character of Latin-1 with nothing but ASCII around it."""
+    around = text[max(0, min(start, end - 3)) : end - 2] + text[end : end + 1]
+    # of the page itself, not bytes that kept their number
+    return around.isascii() and text[end - 2].encode(wrong, "ignore") in (b"\xc2", b"\xc3")
+
+
+def undo_stretches(text: str, chain: str) -> str | None:
+    """``text`` with the runs undone that can have gone through ``chain`` (see ``stretches``) where the whole cannot,
+    such as a damaged stretch in a sentence written without blanks; None if there are none."""
+    out, last = [], 0
+    for a, b in stretches(text, *CHAINS[chain][-1]):
+        before = undo(text[a:b], chain)
+        if before is not None and "�" not in before and not _UNFIT.search(before):
+            out += [text[last:a], before]
+            last = b
+    return "".join([*out, text[last:]]) if out else None
+
+
 _CODE = re.compile(r"`[^`\s]{1,40}`")
 _CUT = re.compile(r"[ \t\r\n]+|(?<=[、。])")
 
@@ -246,7 +338,10 @@ def undone_tokens(vocabulary: DataFrame, model: CharModel) -> DataFrame:
             for n, token in enumerate(tokens):
                 stray, before = _STRAY.search(token), len(which)
                 surprising = stray or least[n] < SURPRISE
-                for chain, text in possible(token, CHAINS if surprising or any(True for _ in possible(token, _UTF8_CHAINS)) else ()):
+                ways = list(possible(token, _UTF8_CHAINS))
+                if ways or surprising:
+                    ways += possible(token, _LEGACY_CHAINS)
+                for chain, text in ways:
                     which.append(n)
                     names.append(chain)
                     undone.append(text)
@@ -392,6 +487,8 @@ def repair_text(text: str, chain: str) -> str | None:
     for n, part in enumerate(parts):
         if part and not part.isascii() and not re.fullmatch(r".?`[^`]+`.?", part):
             before = undo(part, chain)
+            if before is None:
+                before = undo_stretches(part, chain)
             if before is not None:
                 parts[n], changed = before, changed + 1
     return "".join(parts) if changed else None

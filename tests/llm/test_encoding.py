@@ -73,6 +73,41 @@ def test_one_damaged_stretch(spark):
     assert fixed["mixed"] == clean + " " + TEXTS["de"][:40] + " " + clean
 
 
+@pytest.mark.parametrize("chain", ["utf-8>cp1252", "utf-8>latin-1", "utf-8>koi8-r", "utf-8>mac-roman", "utf-8>cp1252 twice", "cp932>latin-1", "euc_jp>cp1252"])
+@pytest.mark.parametrize("head", ["", "背後で"])
+def test_stretch_inside_a_sentence_without_blanks(chain, head):
+    clean, tail = TEXTS["ja"][:17], TEXTS["ja"][18:]
+    garbled = garble(clean, chain)
+    assert e.repair_text(f"# {head}{garbled}{tail}", chain) == f"# {head}{clean}{tail}"
+    assert (chain, head + clean + tail) in e.possible(head + garbled + tail, e.CHAINS)
+
+
+def test_stretch_in_a_multi_byte_page():
+    stretch = next(g for n in range(2, 17) if len(clean := TEXTS["ja"][:n]) > 2 and (g := clean.encode().decode("gbk", "replace")) and "�" not in g)
+    clean = stretch.encode("gbk").decode()
+    assert e.repair_text(stretch + TEXTS["ja"][18:], "utf-8>gbk") == clean + TEXTS["ja"][18:]
+
+
+@pytest.mark.parametrize("text, chain", [("всё тёплый Лёд", "utf-8>koi8-r"), ("Тёплый Лёд", "utf-8>cp1251"), ("«école»", "utf-8>mac-roman"), (TEXTS["ja"], "utf-8>gbk"), (TEXTS["ja"], "utf-8>cp932")])
+def test_chance_sequences_in_clean_text_stay(text, chain):
+    assert e.repair_text(text, chain) is None
+
+
+def test_lone_pair_and_lost_characters():
+    assert e.repair_text("see Â§2.7… now", "utf-8>cp1252") == "see §2.7… now"
+    lost = "検索入門�" + garble(TEXTS["ja"][:9], "utf-8>cp1252") + "版�"
+    assert e.repair_text(lost, "utf-8>cp1252") is None and not list(e.possible(lost, e.CHAINS))
+
+
+def test_finds_a_stretch_inside_a_japanese_sentence(spark):
+    rows, _ = corpus()
+    inside = garble("必ず検索語の処理は変数を削除するが、順番に文書を結合する。", "utf-8>cp1252") + "背後で型の鍵は接続を待つ。"
+    df = spark.createDataFrame(rows + [("page", "inside", "ja", TEXTS["ja"] + inside + TEXTS["ja"])], "kind string, key string, group string, text string")
+    found = e.find_damage(df)
+    assert {r.key: r.chain for r in found.damaged.collect()}["inside"] == "utf-8>cp1252"
+    assert {r.key: r.repaired for r in e.repaired(df, found).collect()}["inside"] == TEXTS["ja"] * 3
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "kind string, key string, group string, text string")
     found = e.find_damage(df)
