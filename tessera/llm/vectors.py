@@ -1,8 +1,8 @@
 """Problem 5: the k most similar vectors of every vector, by a hierarchical k-means tree.
 
-The tree is fitted on the driver to a bounded sample; every row is indexed. A query walks the tree best
-bin first: a priority queue pops the node that can hold the most similar leaf centroid, by the angle to the
-node and the node's angular radius, so leaves are met in the order of their similarity. How many leaves a query visits is widened until the recall,
+The tree is fitted on the driver to a bounded sample; every row is indexed. A query visits leaves in the order of
+the similarity of their centroids, the order in which a best-bin-first walk with exact bounds would pop them from
+its priority queue; the queue is not run: the order is a matrix product of a batch of queries and all leaves. How many leaves a query visits is widened until the recall,
 measured against brute force over the whole table for a sample of queries, reaches the target.
 
 The search is a distributed join of queries with groups of neighbouring leaves. A task holds one block of
