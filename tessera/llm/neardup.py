@@ -131,7 +131,8 @@ class NearDuplicates:
     """Near-duplicate links between the distinct texts of ``df``.
 
     ``members``: (id, rep) for every record that takes part; ``links``: (a, b, similarity) between representatives, a < b,
-    every pair of distinct texts whose shingle sets share at least ``threshold`` of their union.
+    pairs of distinct texts whose shingle sets share at least ``threshold`` of their union. Every such link is exact, but a pair
+    of similarity s is missed with probability (1 - s^rows)^bands: with 32 bands of 4 rows 1.2 % at 0.6, 0.2 % at 0.65.
 
     Words are runs of letters and digits, lower-cased; texts with the same words are copies. Records
     with a null key or text, or fewer than ``min_words`` words (so also empty and blank ones), take no part. Keys
