@@ -11,10 +11,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if its counted rows times its row width stay below this many bytes.
+#: A side is broadcast only if its rows and their measured bytes stay below this.
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 _own_dir: str | None = None
@@ -24,13 +25,15 @@ _run = uuid.uuid4().hex[:12]
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary folder
-    of this process is used.
+    Taken from ``spark.checkpoint.dir``; only where that is unset and all runs on this machine (tests, a laptop) a temporary
+    folder of this process is used. On a cluster an unset folder is an error: executors would write to disks of their own.
     """
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-tessera-")
     return f"file://{_own_dir}"
@@ -44,26 +47,77 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     if not getattr(stage, "_hooked", False):
         atexit.register(release, spark)
         stage._hooked = True
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def forget(*staged: DataFrame | None) -> None:
+    """Delete tables that :func:`stage` returned and that nothing will read again (those of a loop's earlier rounds)."""
+    for df in staged:
+        if df is not None and getattr(df, "_staged_at", None):
+            _delete(df.sparkSession, df._staged_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what :func:`stage` wrote in this process."""
     try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-{_run}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f"{shared_dir(spark)}/tessera-{_run}")
     except Exception:  # the session may be gone already
         pass
 
 
+def _width(df: DataFrame) -> Column:
+    """The bytes of a row: those of texts and arrays as they are, those of other types by their kind."""
+    parts = F.lit(0)
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            parts = parts + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
+            parts = parts + 24 + 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts = parts + 24 + 2 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            parts = parts + 16
+    return parts
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """``F.broadcast(df)`` if a count proves that it fits ``limit``; otherwise ``df`` for a shuffled join.
+    """``F.broadcast(df)`` if it is measured to fit ``limit``; otherwise ``df`` for a shuffled join.
 
-    The count stops at the limit, so the check costs no more than reading that many rows.
+    ``row_bytes`` is what a row takes at least; the texts and arrays of the rows are summed. The measurement stops after as many rows
+    as could fit, so the check costs no more than reading those.
     """
     most = limit // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    seen = df.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_width(df)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= most and seen["bytes"] <= limit else df
+
+
+#: Rows of one key that a task of :func:`spread_join` gets before the key is split.
+KEY_ROWS = 20_000
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: str, most: int = KEY_ROWS) -> DataFrame:
+    """``big.join(small, on)`` in which a key that holds more than ``most`` rows of ``big`` is split over several tasks.
+
+    Rows are counted per key with map-side combining; only keys over the limit (at most one in ``most`` rows) are looked up. The rows
+    of such a key are dealt to parts at random, and the rows of ``small`` are repeated for each part. Null keys match
+    nothing, as in any inner join.
+    """
+    heavy = big.groupBy(on).agg(F.count(F.lit(1)).alias("__rows")).where((F.col("__rows") > most) & F.col(on).isNotNull())
+    heavy = stage(heavy.select(on, F.ceil(F.col("__rows") / most).cast("int").alias("__parts")), "heavy-keys")
+    parts = broadcast_if_small(heavy, 24)
+    count = F.coalesce("__parts", F.lit(1))
+    # the part follows from the row, so that a task that runs again deals its rows out alike
+    dealt = big.join(parts, on, "left").withColumn("__part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns if c != on] or [F.lit(0)]), count).cast("int")).drop("__parts")
+    repeated = small.join(parts, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), count - 1))).drop("__parts")
+    return dealt.join(repeated, [on, "__part"]).drop("__part")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -11,12 +11,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def _row_groups(spark: SparkSession, path: str, enough: int) -> int:
+    """Row groups of a table, which bound the tasks that can read it; counting stops at ``enough`` files, and only footers are read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found, groups, seen = root.getFileSystem(conf).listFiles(root, True), 0, 0
+    while found.hasNext() and groups < enough and seen < enough:
+        at = found.next().getPath()
+        if at.getName().endswith(".parquet"):
+            seen += 1
+            footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+            groups += footer.getRowGroups().size()
+            footer.close()
+    return groups
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The table for work that is heavy per row: where its files give fewer tasks than there are cores (one small
-    file, one row group), the rows are dealt out once. A table of many files is read as it lies."""
+    """The table for work that is heavy per row: where its row groups cannot give every core a task (one small file),
+    the rows are dealt out once. A table of enough row groups, in however few files, is read as it lies."""
     df = table(spark, sf_dir, name, *columns)
     cores = spark.sparkContext.defaultParallelism
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    at = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    count = at.getContentSummary(files).getFileCount()
-    return df.repartition(cores) if count < cores else df
+    return df.repartition(cores) if _row_groups(spark, f"{sf_dir}/{name}.parquet", cores) < cores else df
