@@ -152,7 +152,7 @@ def p2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p2_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every record's text."""
-    return tokens.count_tokens(spread_table(spark, sf_dir, "parsed_documents", "id", "text"), _merge_tokenizer(spark, sf_dir))
+    return tokens.row_tokens(spread_table(spark, sf_dir, "parsed_documents", "id", "text"), _merge_tokenizer(spark, sf_dir), "text", "id")
 
 
 @query()
@@ -167,13 +167,13 @@ def p2_public_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.SourceMix:
     docs = spread_table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    counted = tokens.count_tokens(docs, tokens.RankTokenizer(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), "doc_id")
-    return mixing.SourceMix(docs.select("doc_id", "source").join(counted, "doc_id"), table(spark, sf_dir, "mix_targets"))
+    counted = tokens.row_tokens(docs, tokens.RankTokenizer(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), "text", "doc_id", "source")
+    return mixing.SourceMix(counted, table(spark, sf_dir, "mix_targets"))
 
 
 @query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that miss their share even with every allowed repeat."""
+    """Sources of which the mix holds less than their share although it holds every copy that it may."""
     return _mix(spark, sf_dir).shares().where("missed").select("source")
 
 

@@ -3,8 +3,8 @@
 Texts are cut into the tokenizer's pieces by its own pattern (in the JVM); each distinct piece is
 tokenized once; the cached lengths are joined back with the pieces of the documents, which gives exact
 totals. The most frequent pieces, whose number and length are bounded, are broadcast, so the hot pieces
-of a language are summed where they are read; the rare rest is aggregated per document and joined in a
-shuffle.
+of a language are summed where they are read; the rare rest is aggregated per group (a slice of the corpus, or a
+document) and joined in a shuffle. A text is cut once: the pieces are written and serve both passes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import free_name, stage
+from tessera.runtime import stage
 
 #: Broadcast at most so many pieces of at most so many characters: 64 k * 48 characters stay below 16 MB.
 HEAD_PIECES, HEAD_CHARS = 65_536, 48
@@ -120,23 +120,48 @@ def piece_lengths(pieces: DataFrame, tokenizer) -> DataFrame:
     return used.mapInPandas(lengths, "piece string, uses bigint, tokens int")
 
 
-def count_tokens(df: DataFrame, tokenizer, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, tokens): the exact number of tokens of every row's text.
+def _cut(df: DataFrame, tokenizer, text: str, **carry: Column) -> DataFrame:
+    """(row, carry..., pieces): every row with a number of its own and the pieces of its text, cut once and written."""
+    pieces = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(tokenizer.pattern), F.lit(0))
+    cut = df.select(*[c.alias(name) for name, c in carry.items()], pieces.alias("__pieces"))
+    # the number is fixed by writing it
+    return stage(cut.withColumn("__row", F.monotonically_increasing_id()), "cut-texts")
+
+
+def _sums(cut: DataFrame, tokenizer, *by: str) -> DataFrame:
+    """(by..., tokens): the tokens of all rows of each group, null being a group. Groups without any piece are left out.
 
-    Null and empty texts have 0 tokens; blank ones have those of their white space. Rows with the same key are counted
-    together (a null key is a key). An empty table gives an empty result. Texts are counted whole, however long.
+    Head pieces are summed where they are read; the rest meets its lengths in a shuffled join, in which a group has each
+    piece once.
     """
-    cut = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(tokenizer.pattern), F.lit(0))
-    pieces = df.select(F.col(f"`{key}`").alias("key"), F.explode_outer(cut).alias("piece"))
+    pieces = cut.select(*by, F.explode("__pieces").alias("piece"))
     lengths = stage(piece_lengths(pieces, tokenizer), "piece-lengths")
     short = lengths.where(F.length("piece") <= HEAD_CHARS)
     head = F.broadcast(short.orderBy(F.desc("uses"), "piece").limit(HEAD_PIECES).select("piece", F.col("tokens").alias("known")))
     rare = F.when(F.col("known").isNull(), F.col("piece"))
-    summed = pieces.join(head, "piece", "left").groupBy("key", rare.alias("piece")).agg(F.sum(F.coalesce("known", F.lit(0))).alias("known"), F.count(F.lit(1)).alias("n"))
-    summed = stage(summed, "document-pieces")
+    summed = pieces.join(head, "piece", "left").groupBy(*by, rare.alias("piece")).agg(F.sum(F.coalesce("known", F.lit(0))).alias("known"), F.count(F.lit(1)).alias("n"))
+    summed = stage(summed, "group-pieces")
     tail = summed.where(F.col("piece").isNotNull()).join(lengths.select("piece", "tokens"), "piece")
-    parts = summed.where(F.col("piece").isNull()).select("key", F.col("known").alias("t")).unionByName(tail.select("key", (F.col("n") * F.col("tokens")).alias("t")))
-    return parts.groupBy("key").agg(F.sum("t").alias("tokens")).withColumnRenamed("key", key)
+    parts = summed.where(F.col("piece").isNull()).select(*by, F.col("known").alias("t")).unionByName(tail.select(*by, (F.col("n") * F.col("tokens")).alias("t")))
+    return parts.groupBy(*by).agg(F.sum("t").alias("tokens"))
+
+
+def row_tokens(df: DataFrame, tokenizer, text: str = "text", *carry: str) -> DataFrame:
+    """(carry..., tokens): one row per row of ``df`` with the exact number of tokens of its text.
+
+    Null and empty texts have 0 tokens; blank ones have those of their white space. Rows that repeat a key or have none
+    stay rows of their own. An empty table gives an empty result. Texts are counted whole, however long.
+    """
+    names = {f"c{n}": c for n, c in enumerate(carry)}
+    cut = _cut(df, tokenizer, text, **{n: F.col(f"`{c}`") for n, c in names.items()})
+    counted = cut.drop("__pieces").join(_sums(cut, tokenizer, "__row"), "__row", "left")
+    return counted.select(*[F.col(n).alias(c) for n, c in names.items()], F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+def count_tokens(df: DataFrame, tokenizer, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, tokens): :func:`row_tokens` with rows of the same key counted together (a null key is a key)."""
+    counted = row_tokens(df, tokenizer, text, key)
+    return counted.groupBy(F.col(f"`{key}`").alias(key)).agg(F.sum("tokens").alias("tokens")) if key != "tokens" else counted
 
 
 def clean_source(source: Column) -> Column:
@@ -165,22 +190,27 @@ def is_usable(text: Column, min_words: int) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")) >= min_words, F.lit(False))
 
 
-def token_totals(df: DataFrame, tokenizer, key: str = "id", text: str = "text", source: str = "source", language: str = "language", url: str = "url", min_words: int = 20) -> DataFrame:
+def token_totals(df: DataFrame, tokenizer, text: str = "text", source: str = "source", language: str = "language", url: str = "url", min_words: int = 20) -> DataFrame:
     """Totals per (source, language, host), per each of the three, and overall.
 
     Comes out: ``level`` (``slice``, ``source``, ``language``, ``host`` or ``all``), ``source``, ``language``, ``host`` (null where summed over), ``documents``,
-    ``tokens``, ``usable_documents``, ``usable_tokens``. An empty table gives an empty result but for ``all``, whose sums are 0.
+    ``tokens``, ``usable_documents``, ``usable_tokens``. Every row counts, whatever its key; a null text has no tokens and is not usable. An empty
+    table gives an empty result but for ``all``, whose sums are 0.
     """
-    counted = count_tokens(df, tokenizer, key, text).withColumnRenamed(key, "key")
-    facts = df.select(
-        F.col(f"`{key}`").alias("key"),
-        clean_source(F.col(f"`{source}`")).alias("source"),
-        clean_language(F.col(f"`{language}`")).alias("language"),
-        url_host(F.col(f"`{url}`")).alias("host"),
-        is_usable(F.col(f"`{text}`"), min_words).cast("int").alias("usable"),
+    cut = _cut(
+        df,
+        tokenizer,
+        text,
+        source=clean_source(F.col(f"`{source}`")),
+        language=clean_language(F.col(f"`{language}`")),
+        host=url_host(F.col(f"`{url}`")),
+        usable=is_usable(F.col(f"`{text}`"), min_words),
     )
-    each = facts.join(counted, "key").groupBy("source", "language", "host").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.sum("usable").alias("usable_documents"), F.sum(F.col("tokens") * F.col("usable")).alias("usable_tokens")
+    by = ["source", "language", "host", "usable"]
+    held = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("documents")).join(_sums(cut, tokenizer, *by), by, "left")
+    tokens = F.coalesce("tokens", F.lit(0))
+    each = held.groupBy("source", "language", "host").agg(
+        F.sum("documents").alias("documents"), F.sum(tokens).alias("tokens"), F.sum(F.when(F.col("usable"), F.col("documents")).otherwise(0)).alias("usable_documents"), F.sum(F.when(F.col("usable"), tokens).otherwise(0)).alias("usable_tokens")
     )
     each = stage(each, "slices")
     sums = ["documents", "tokens", "usable_documents", "usable_tokens"]
@@ -193,10 +223,3 @@ def token_totals(df: DataFrame, tokenizer, key: str = "id", text: str = "text",
     for by in ("source", "language", "host"):
         out = out.unionByName(level(by, by))
     return out.unionByName(level("all"))
-
-
-def with_tokens(df: DataFrame, tokenizer, key: str = "id", text: str = "text") -> DataFrame:
-    """``df`` with a column ``tokens`` (or ``tokens_2``, if there is one)."""
-    name = free_name(df, "tokens")
-    counted = count_tokens(df, tokenizer, key, text).select(F.col(key).alias("__key"), F.col("tokens").alias(name))
-    return df.join(counted, F.col(f"`{key}`").eqNullSafe(F.col("__key"))).drop("__key")

@@ -80,6 +80,17 @@ def test_totals(spark, sf, merges):
     assert all(r.usable_tokens <= r.tokens and r.usable_documents <= r.documents for r in out)
 
 
+def test_repeated_and_missing_keys(spark, merges):
+    df = spark.createDataFrame([("a", "the the"), ("a", "data"), (None, "zebra"), (None, None)], "id string, text string").selectExpr("*", "'s' AS source", "'l' AS language", "'' AS url")
+    each = [sum(merges.count(p) for p in WORDS.findall(t)) for t in ("the the", "data", "zebra")]
+    every = tokens.token_totals(df, merges).where("level = 'all'").first()
+    assert every.documents == 4 and every.tokens == sum(each)
+    rows = sorted((r.id or "", r.tokens) for r in tokens.row_tokens(df, merges, "text", "id").collect())
+    assert rows == sorted([("a", each[0]), ("a", each[1]), ("", each[2]), ("", 0)])
+    assert {r.id: r.tokens for r in tokens.count_tokens(df, merges).collect()} == {"a": each[0] + each[1], None: each[2]}
+    assert tokens.token_totals(df.limit(0), merges).collect()[0].tokens == 0
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame(
         [("HTTPS://WWW.A.example:8080/x", " Hex-Docs ", "EX"), ("//u:p@b.test/x", None, " py "), ("/only/path", "", None), ("", "a", ""), (None, "b", "Go"), ("c.example/x?y=//z", "c", "golang")],
