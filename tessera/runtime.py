@@ -103,21 +103,27 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
 KEY_ROWS = 20_000
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: str, most: int = KEY_ROWS) -> DataFrame:
-    """``big.join(small, on)`` in which a key that holds more than ``most`` rows of ``big`` is split over several tasks.
+def spread_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", row_bytes: int | None = None, most: int = KEY_ROWS) -> DataFrame:
+    """``big.join(small, on, how)``, inner or left, in which a key that holds more than ``most`` rows of ``big`` is split over several tasks.
 
     Rows are counted per key with map-side combining; only keys over the limit (at most one in ``most`` rows) are looked up. The rows
-    of such a key are dealt to parts at random, and the rows of ``small`` are repeated for each part. Null keys match
-    nothing, as in any inner join.
+    of such a key are dealt to parts by a hash of the row, and the rows of ``small`` are repeated for each part. Null keys match
+    nothing. With ``row_bytes`` (what a row of ``small`` takes at least) ``small`` is measured first and broadcast if it fits.
     """
-    heavy = big.groupBy(on).agg(F.count(F.lit(1)).alias("__rows")).where((F.col("__rows") > most) & F.col(on).isNotNull())
-    heavy = stage(heavy.select(on, F.ceil(F.col("__rows") / most).cast("int").alias("__parts")), "heavy-keys")
+    on = [on] if isinstance(on, str) else on
+    if row_bytes is not None:
+        held = broadcast_if_small(small, row_bytes)
+        if held is not small:
+            return big.join(held, on, how)
+    heavy = big.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > most)
+    heavy = stage(heavy.select(*on, F.ceil(F.col("__rows") / most).cast("int").alias("__parts")), "heavy-keys")
     parts = broadcast_if_small(heavy, 24)
     count = F.coalesce("__parts", F.lit(1))
     # the part follows from the row, so that a task that runs again deals its rows out alike
-    dealt = big.join(parts, on, "left").withColumn("__part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns if c != on] or [F.lit(0)]), count).cast("int")).drop("__parts")
+    rest = [F.col(f"`{c}`") for c in big.columns if c not in on] or [F.lit(0)]
+    dealt = big.join(parts, on, "left").withColumn("__part", F.pmod(F.xxhash64(*rest), count).cast("int")).drop("__parts")
     repeated = small.join(parts, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), count - 1))).drop("__parts")
-    return dealt.join(repeated, [on, "__part"]).drop("__part")
+    return dealt.join(repeated, [*on, "__part"], how).drop("__part")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -29,6 +29,9 @@ def test_join_on_a_hot_key(spark):
     joined = runtime.spread_join(big, small, "k", most=2_000)
     plain = big.join(small, "k")
     assert joined.columns == plain.columns and joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+    left, plain = runtime.spread_join(big, small, ["k"], "left", most=2_000), big.join(small, ["k"], "left")
+    assert left.exceptAll(plain).isEmpty() and left.count() == plain.count() == 60_000
+    assert runtime.spread_join(big, small, "k", row_bytes=8).count() == joined.count()
     # half of the rows have one key; no task gets much more of them than others
     sizes = [r["n"] for r in joined.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert joined.count() > 30_000 and (len(sizes) == 1 or max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2])
