@@ -17,18 +17,20 @@ tables of bigrams of fixed size, and so is what reaches the driver of it.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import mix
-from tessera.runtime import broadcast_if_small, stage
+from tessera.runtime import broadcast_if_small, forget, spread_join, stage
 
 #: Slots of each of the two hash tables of bigrams, and of the table of characters.
 BIGRAMS, CHARS = 1 << 21, 1 << 16
@@ -239,16 +241,25 @@ def tokens_of(text: str) -> list[str]:
 
 
 def token_lists(records: DataFrame) -> DataFrame:
-    """(kind, key, group, tokens) of the records whose text is not plain ASCII."""
+    """(rec, kind, key, group, length, tokens, times) of the records whose text is not plain ASCII: a number of the record's own, how many
+    tokens with other than ASCII characters it has, which ones, and how often each."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"kind": batch["kind"], "key": batch["key"], "group": batch["group"], "tokens": [tokens_of(t) for t in batch["text"]]})
+            counts = [Counter(tokens_of(t)) for t in batch["text"]]
+            yield pd.DataFrame(
+                {"kind": batch["kind"], "key": batch["key"], "group": batch["group"], "length": [c.total() for c in counts], "tokens": [list(c) for c in counts], "times": [list(c.values()) for c in counts]}
+            )
 
-    # more bytes than characters: some character is not ASCII
-    special = records.select("kind", "key", "group", "text").where(F.octet_length("text") > F.length("text"))
+    # more bytes than characters: some character is not ASCII; a missing group is a group
+    special = records.select("kind", "key", _group(), "text").where(F.octet_length("text") > F.length("text"))
     kinds = dict(records.dtypes)
-    return special.mapInPandas(cut, ", ".join(f"{c} {kinds[c]}" for c in ("kind", "key")) + f", `group` {kinds['group']}, tokens array<string>")
+    lists = special.mapInPandas(cut, ", ".join(f"{c} {kinds[c]}" for c in ("kind", "key")) + ", `group` string, length int, tokens array<string>, times array<int>")
+    return lists.withColumn("rec", F.monotonically_increasing_id())
+
+
+def _group() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("group").cast("string")), F.lit("none")).alias("group")
 
 
 class CharModel:
@@ -276,17 +287,22 @@ class CharModel:
         h = mix((context.astype(np.uint64) << np.uint64(16)) + char.astype(np.uint64))
         return (h & np.uint64(BIGRAMS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BIGRAMS - 1)).astype(np.int64) + BIGRAMS
 
-    def each(self, context: np.ndarray, char: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of the characters in their contexts."""
+    def each(self, context: np.ndarray, char: np.ndarray, own: float = 0.0) -> np.ndarray:
+        """Natural log-probabilities of the characters in their contexts; ``own`` occurrences are left out of the counts."""
         first, second = self.buckets(context, char)
-        seen = np.minimum(self._bigrams[first], self._bigrams[second])
-        return np.log((seen + 2.0 * self._alone[char]) / (self._context[context] + 2.0))
+        seen = np.maximum(np.minimum(self._bigrams[first], self._bigrams[second]) - own, 0.0)
+        return np.log((seen + 2.0 * self._alone[char]) / (np.maximum(self._context[context] - own, seen) + 2.0))
+
+    def tokens(self, tokens: list[str], own: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Per token the log-probability and that of its least likely character.
 
-    def tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per token the log-probability and that of its least likely character."""
+        With ``own`` = 1 the first is what the corpus says of the token but for the occurrence in question, which does not
+        speak for itself.
+        """
         context, char, starts = self.codes(tokens)
         p = self.each(context, char)
-        return np.add.reduceat(p, starts), np.minimum.reduceat(p, starts)
+        least = np.minimum.reduceat(p, starts)
+        return np.add.reduceat(self.each(context, char, own) if own else p, starts), least
 
 
 def _counted(weighted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +337,7 @@ _STRAY = re.compile("[�\x80-\x84\x86-\x9f]")
 def undone_tokens(vocabulary: DataFrame, model: CharModel) -> DataFrame:
     """(token, chain, undone, gain) for every chain that a suspicious token may have gone through.
 
-    ``gain`` is the log-likelihood ratio of the undone token to the token as it stands. A token with the
+    ``gain`` is the log-likelihood ratio of the undone token to the token as it stands (but for one occurrence). A token with the
     replacement character, or with stray control characters that no chain explains, has the chain ``lost``.
     """
     sent = vocabulary.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
@@ -332,7 +348,7 @@ def undone_tokens(vocabulary: DataFrame, model: CharModel) -> DataFrame:
             tokens = batch["token"].tolist()
             if not tokens:
                 continue
-            likely, least = model.tokens(tokens)
+            likely, least = model.tokens(tokens, 1.0)
             which, names, undone = [], [], []
             lost = []
             for n, token in enumerate(tokens):
@@ -376,7 +392,7 @@ def rescored(undone: DataFrame, model: CharModel) -> DataFrame:
             known = batch["chain"] != LOST
             some = batch[known]
             if len(some):
-                batch.loc[known, "gain"] = _likelihood(sent.value, some["undone"].tolist()) - sent.value.tokens(some["token"].tolist())[0] + _strays(some["token"])
+                batch.loc[known, "gain"] = _likelihood(sent.value, some["undone"].tolist()) - sent.value.tokens(some["token"].tolist(), 1.0)[0] + _strays(some["token"])
             yield batch
 
     return undone.mapInPandas(score, undone.schema)
@@ -384,94 +400,98 @@ def rescored(undone: DataFrame, model: CharModel) -> DataFrame:
 
 @dataclass(frozen=True)
 class Repairs:
-    """``damaged``: (kind, key, group, chain, posterior) of the records found; ``priors``: (group, chain, prior)."""
+    """``damaged``: (kind, key, chain, posterior) of the records found; ``priors``: (group, chain, prior); ``rounds`` until it settled."""
 
     damaged: DataFrame
     priors: DataFrame
+    rounds: int
 
 
-def find_damage(records: DataFrame, rounds: int = 3, at_least: float = 0.5) -> Repairs:
+def find_damage(records: DataFrame, most_rounds: int = 8, settled: float = 1e-3, at_least: float = 0.5) -> Repairs:
     """Damaged records among ``records`` (kind, key, group, text).
 
     ``group`` names the source and field whose records share a prior (null is a group). Null keys stay null. Records
-    with null, empty or plain ASCII text are never damaged. Repeated rows are evidence each and come out each
+    with null, empty or plain ASCII text are never damaged. Repeated rows are evidence each and come out
     once per (kind, key). Very long texts are read whole. An empty table gives an empty result. Text inside inline code
     (back quotes around a word) is a quotation and no evidence. Of chains with equal posteriors the first by name.
+
+    The rounds end when the expected number of damaged records changes by no more than ``settled`` of it. A token that occurs m times in a
+    record weighs 1 + log(m), as its occurrences are no independent evidence.
     """
     lists = stage(token_lists(records), "tokens")
-    cut = lists.select("kind", "key", "group", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    vocabulary = stage(cut.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    each = lists.select("rec", "group", "length", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("rec", "group", "length", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
+    vocabulary = stage(each.groupBy("token").agg(F.sum("times").alias("n")), "vocabulary")
     base = _counted(vocabulary.select("token", F.col("n").alias("weight")))
     likely = F.col("gain") > -2
     undone = stage(undone_tokens(vocabulary, CharModel(*base)), "undone")
     suspects = stage(undone.where(likely).select("token").distinct(), "suspects")
-    undone = stage(undone.join(broadcast_if_small(suspects, 256), "token", "left_semi"), "undone-suspects")
+    # the few suspicious tokens: all that the rounds need of records and chains
+    undone = stage(undone.join(broadcast_if_small(suspects, 16), "token", "left_semi"), "undone-suspects")
+    found = spread_join(each, suspects, "token", row_bytes=16).withColumn("n", 1 + F.log(F.col("times").cast("double")))
+    found = stage(found.withColumn("weight", F.sum("n").over(Window.partitionBy("rec"))), "evidence")
+    sizes = stage(records.select(_group()).groupBy("group").agg(F.count(F.lit(1)).alias("records")), "groups")
+    whole = sizes.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     scores = undone.where(likely)
-    # rows of a record are few: a token counts up to three times
-    found = cut.join(broadcast_if_small(suspects, 256), "token").groupBy("kind", "key", "group", "token").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("n"), F.count(F.lit(1)).alias("times"), F.max("length").alias("length"))
-    found = stage(found, "evidence")
-    sizes = records.groupBy("group").agg(F.count(F.lit(1)).alias("records"))
-    sizes = stage(sizes, "groups")
-    most = len(CHAINS) + 1
-    prior = None
-    posterior = None
-    for n in range(rounds):
-        posterior = stage(_posteriors(found, scores, prior, most), "posteriors")
-        prior = stage(_priors(posterior, sizes, most), "priors")
-        if n + 1 < rounds:
-            model = CharModel(*_without_damage(base, found, scores, posterior))
-            scores = stage(rescored(undone, model).where(likely), "scores")
-    damaged = posterior.where(F.col("damage") >= at_least).groupBy("kind", "key").agg(
-        F.first("group").alias("group"), F.max_by("chain", F.struct("posterior", -F.hash("chain"))).alias("chain"), F.max("damage").alias("posterior")
-    )
-    return Repairs(damaged, prior)
-
-
-def _posteriors(found: DataFrame, scores: DataFrame, prior: DataFrame | None, most: int) -> DataFrame:
-    """(kind, key, group, chain, posterior, damage) of every record with suspicious tokens."""
-    by = ["kind", "key", "group"]
-    whole = found.groupBy(*by).agg(F.sum("n").alias("tokens"), F.max("length").alias("length"))
-    log_mix = F.log(F.lit(1 - STRETCH) + F.lit(STRETCH) * F.exp(F.least("gain", F.lit(300.0))))
-    per = found.join(scores, "token").groupBy(*by, "chain").agg(F.sum(F.col("n") * log_mix).alias("evidence"), F.sum("n").alias("explained"))
-    same = lambda a, b: F.col(f"l.{a}").eqNullSafe(F.col(f"r.{b}"))
-    per = per.alias("l").join(whole.alias("r"), same("kind", "kind") & same("key", "key") & same("group", "group")).select("l.*", "r.tokens", "r.length")
-    # tokens that the chain does not explain stand as clean ones inside the record
-    inside = (F.col("tokens") - F.col("explained")) * F.log(F.lit(1 - STRETCH))
-    # and the stretch may begin and end anywhere
-    per = per.withColumn("evidence", F.col("evidence") + inside - 2 * F.log(F.col("length").cast("double")))
+    prior, before, expected, staged, n = None, -1.0, None, None, 0
+    for n in range(1, most_rounds + 1):
+        forget(expected)
+        expected = stage(_expected(found, scores, prior), "expected")
+        here = stage(expected.groupBy("group", "chain").agg(F.sum(F.col("posterior") / F.col("rows")).alias("expected")), "expected-shares")
+        everywhere = {r["chain"]: r["e"] for r in here.groupBy("chain").agg(F.sum("expected").alias("e")).collect()}  # a row per chain
+        forget(prior)
+        prior = stage(_priors(here, sizes, everywhere, whole), "priors")
+        forget(here)
+        damage = sum(everywhere.values())
+        if abs(damage - before) <= settled * max(damage, 1.0) or n == most_rounds:
+            break
+        before = damage
+        model = CharModel(*_without_damage(base, expected))
+        forget(staged)
+        staged = stage(rescored(undone, model), "scores")
+        scores = staged.where(likely)
+    best = expected.where(F.col("damage") >= at_least).groupBy("rec").agg(F.min(F.struct(-F.col("posterior"), "chain")).alias("best"), F.max("damage").alias("damage"))
+    damaged = lists.select("rec", "kind", "key").join(best, "rec").groupBy("kind", "key").agg(F.min("best").alias("best"), F.max("damage").alias("posterior"))
+    return Repairs(damaged.select("kind", "key", F.col("best.chain").alias("chain"), "posterior"), prior, n)
+
+
+def _expected(found: DataFrame, scores: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """(rec, group, chain, token, times, gain, rows, posterior, damage): the E step, one row per record, chain and token that speaks for
+    it; ``rows`` counts those of a record and chain. Tokens are joined once, and one exchange by record serves all sums."""
+    rows = spread_join(found, scores.select("token", "chain", "gain"), "token", row_bytes=32)
     if prior is None:
-        per = per.withColumn("prior", F.lit(FIRST_DAMAGE / most))
+        rows = rows.withColumn("prior", F.lit(FIRST_DAMAGE / (len(CHAINS) + 1)))
     else:
-        per = per.alias("l").join(broadcast_if_small(prior, 128).alias("r"), same("group", "group") & same("chain", "chain"), "left").select("l.*", F.coalesce("r.prior", F.lit(1e-6)).alias("prior"))
-    joint = per.withColumn("joint", F.col("evidence") + F.log("prior"))
-    top = joint.groupBy(*by).agg(F.max("joint").alias("top"))
-    joint = joint.alias("l").join(top.alias("r"), same("kind", "kind") & same("key", "key") & same("group", "group")).select("l.*", F.greatest(F.col("r.top"), F.lit(0.0)).alias("top"))
-    mass = joint.withColumn("mass", F.exp(F.col("joint") - F.col("top")))
-    total = mass.groupBy(*by).agg((F.sum("mass") + F.exp(-F.first("top"))).alias("all"), F.sum("mass").alias("bad"))
-    return mass.alias("l").join(total.alias("r"), same("kind", "kind") & same("key", "key") & same("group", "group")).select(
-        "l.kind", "l.key", "l.group", "l.chain", (F.col("l.mass") / F.col("r.all")).alias("posterior"), (F.col("r.bad") / F.col("r.all")).alias("damage")
-    )
-
-
-def _priors(posterior: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+        rows = spread_join(rows, prior, ["group", "chain"], "left", row_bytes=40).withColumn("prior", F.coalesce("prior", F.lit(1e-6)))
+    clean = math.log(1 - STRETCH)
+    log_mix = F.log(F.lit(1 - STRETCH) + F.lit(STRETCH) * F.exp(F.least("gain", F.lit(300.0))))
+    record, chain = Window.partitionBy("rec"), Window.partitionBy("rec", "chain")
+    rows = rows.repartition("rec").withColumn("rows", F.count(F.lit(1)).over(chain))
+    # tokens that the chain does not explain stand as clean ones inside the record, and the stretch may begin and end anywhere
+    evidence = F.sum(F.col("n") * (log_mix - clean)).over(chain) + F.col("weight") * clean - 2 * F.log(F.col("length").cast("double"))
+    rows = rows.withColumn("joint", evidence + F.log("prior"))
+    rows = rows.withColumn("top", F.greatest(F.max("joint").over(record), F.lit(0.0)))
+    rows = rows.withColumn("mass", F.exp(F.col("joint") - F.col("top")))
+    rows = rows.withColumn("bad", F.sum(F.col("mass") / F.col("rows")).over(record))
+    every = F.col("bad") + F.exp(-F.col("top"))
+    return rows.select("rec", "group", "chain", "token", "times", "gain", "rows", (F.col("mass") / every).alias("posterior"), (F.col("bad") / every).alias("damage"))
+
+
+def _priors(here: DataFrame, sizes: DataFrame, everywhere: dict[str, float], whole: int) -> DataFrame:
     """(group, chain, prior): expected shares per group, drawn towards those of the whole."""
-    overall = sizes.agg(F.sum("records").alias("whole"))
-    everywhere = posterior.groupBy("chain").agg(F.sum("posterior").alias("expected")).crossJoin(F.broadcast(overall)).select("chain", ((F.col("expected") + FIRST_DAMAGE / most) / (F.col("whole") + 1)).alias("general"))
-    here = posterior.groupBy("group", "chain").agg(F.sum("posterior").alias("expected"))
-    joined = here.alias("h").join(sizes.alias("s"), F.col("h.group").eqNullSafe(F.col("s.group"))).select("h.*", "s.records").join(F.broadcast(everywhere), "chain")
+    general = {c: (e + FIRST_DAMAGE / (len(CHAINS) + 1)) / (whole + 1) for c, e in everywhere.items()}
+    table = F.create_map(*[F.lit(x) for pair in general.items() for x in pair]) if general else F.create_map().cast("map<string,double>")
     strength = 20.0
-    return joined.select("group", "chain", ((F.col("expected") + strength * F.col("general")) / (F.col("records") + strength)).alias("prior"))
+    shares = here.join(sizes, "group")
+    return shares.select("group", "chain", ((F.col("expected") + strength * F.try_element_at(table, F.col("chain"))) / (F.col("records") + strength)).alias("prior"))
 
 
-def _without_damage(base: tuple[np.ndarray, np.ndarray], found: DataFrame, scores: DataFrame, posterior: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _without_damage(base: tuple[np.ndarray, np.ndarray], expected: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The counts with the expected damaged occurrences taken out. Their undone forms are not put in: that
     would let a wrong repair speak for itself in the next round."""
-    same = F.col("f.kind").eqNullSafe(F.col("p.kind")) & F.col("f.key").eqNullSafe(F.col("p.key")) & F.col("f.group").eqNullSafe(F.col("p.group"))
-    each = found.alias("f").join(posterior.where("posterior > 0.01").alias("p"), same).select("f.token", "p.chain", (F.col("f.times") * F.col("p.posterior")).alias("w"))
     # within a damaged record a token is damaged as far as its own gain says
     odds = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least("gain", F.lit(30.0)), F.lit(-30.0))))
-    damaged = stage(each.join(scores, ["token", "chain"]).groupBy("token").agg(F.sum(F.col("w") * odds).alias("weight")), "damaged-tokens")
-    out = _counted(damaged.select("token", "weight"))
+    damaged = expected.where("posterior > 0.01").groupBy("token").agg(F.sum(F.col("times") * F.col("posterior") * odds).alias("weight"))
+    out = _counted(damaged)
     return base[0] - out[0], base[1] - out[1]
 
 
@@ -501,6 +521,6 @@ def repaired(records: DataFrame, damage: Repairs) -> DataFrame:
     def repair(text: pd.Series, chain: pd.Series) -> pd.Series:
         return pd.Series([repair_text(t, c) if t is not None and c is not None else None for t, c in zip(text, chain)], dtype="object")
 
-    wanted = broadcast_if_small(damage.damaged.select("kind", "key", "chain", "posterior"), 128)
+    wanted = broadcast_if_small(stage(damage.damaged, "damaged"), 64)
     rows = records.select("kind", "key", "text").join(wanted, ["kind", "key"])
     return rows.select("kind", "key", "chain", "posterior", repair("text", "chain").alias("repaired"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import encoding, leakage, mixing, neardup, reading, splitting, tokens, vectors
-from tessera.runtime import broadcast_if_small
+from tessera.runtime import spread_join
 from tessera.sources.tables import spread_table, table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -218,7 +218,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "parsed_books", "id", "title", "source_file_path").withColumn("folder", folder)
     pages = spread_table(spark, sf_dir, "page_contents", "page_id", "parsed_book_id", "text")
     of = books.select(F.col("id").alias("parsed_book_id"), "folder")
-    pages = pages.join(broadcast_if_small(of, 128), "parsed_book_id", "left")
+    pages = spread_join(pages, of, "parsed_book_id", "left", row_bytes=48)
     return pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("key"), F.concat(F.lit("page:"), "folder").alias("group"), "text").unionByName(
         books.select(F.lit("book").alias("kind"), F.col("id").alias("key"), F.concat(F.lit("book:"), "folder").alias("group"), F.col("title").alias("text"))
     )
