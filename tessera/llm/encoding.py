@@ -69,6 +69,7 @@ def chains() -> dict[str, tuple[tuple[str, str], ...]]:
 
 CHAINS = chains()
 _UTF8_CHAINS = [name for name, steps in CHAINS.items() if steps[0][0] == "utf-8"]
+_UTF8_NAMES = frozenset(_UTF8_CHAINS)
 _LEGACY_CHAINS = [name for name in CHAINS if name not in _UTF8_CHAINS]
 
 
@@ -97,20 +98,33 @@ _UNFIT = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ue000-\uf8ff]")
 
 def possible(token: str, names: Iterable[str]) -> Iterator[tuple[str, str]]:
     """(chain, undone) of the chains among ``names`` that the token may have gone through."""
-    special = frozenset(token) - _PLAIN
-    fits = {wrong: alphabet >= special for wrong, alphabet in _ALPHABETS.items()}
-    touches = {wrong: len(alphabet & special) for wrong, alphabet in _ALPHABETS.items()}
+    special, known = frozenset(token) - _PLAIN, {}
     for chain in names:
-        wrong = CHAINS[chain][-1][1]
-        if not touches.get(wrong, True):
+        step = CHAINS[chain][-1]
+        if step not in known:
+            known[step] = _reach(token, special, *step)
+        if known[step] == 0:
             continue
-        before = undo(token, chain) if fits.get(wrong, True) else None
+        before = undo(token, chain) if known[step] == 2 else None
         if before is None:
             before = undo_stretches(token, chain)
         if before is not None and not _UNFIT.search(before):
             yield chain, before
 
 
+def _reach(token: str, special: frozenset[str], true: str, wrong: str) -> int:
+    """2 if the whole token may be bytes of ``true`` read as ``wrong``, 1 if stretches of it may, 0 if none of it can."""
+    alphabet = _ALPHABETS.get(wrong)
+    if alphabet is None:
+        if true != "utf-8":
+            return 2
+        # clean text of such a page has sequences by chance, but hardly three on end
+        return 2 if (_UTF8 if len(special) < 4 else _UTF8_THREE).search(token.encode(wrong, "ignore")) else 0
+    if alphabet.isdisjoint(special) or not _ONES[true, wrong].search(token):
+        return 0
+    return 2 if alphabet >= special else 1
+
+
 def _bytes(text: str, wrong: str) -> bytes:
     table = _TABLES.get(wrong)
     if not table:
@@ -154,9 +168,13 @@ _SINGLE = "[\x80-\xff]"
 _FOREIGN = "\u0100"
 
 
-def _runs() -> dict[tuple[str, str], re.Pattern]:
-    """(true, misread as) -> runs of whole characters of the one, spelt in the characters of the other if that is single-byte."""
-    out = {}
+_UTF8 = re.compile(_SEQUENCES["utf-8"].encode("latin-1"))
+_UTF8_THREE = re.compile(b"(?:[\x00-\x7f]*(?:" + _UTF8.pattern + b")){3}")
+
+
+def _runs() -> tuple[dict[tuple[str, str], re.Pattern], dict[tuple[str, str], re.Pattern]]:
+    """(true, misread as) -> a whole character of the one, spelt in the characters of the other if that is single-byte; and runs of such."""
+    ones, out = {}, {}
     for true, wrong in {step for steps in CHAINS.values() for step in steps}:
         one = _SEQUENCES.get(true, _SINGLE)
         if wrong in _TABLES:
@@ -169,11 +187,12 @@ def _runs() -> dict[tuple[str, str], re.Pattern]:
                 return "[" + "".join(map(re.escape, held)) + "]"
 
             one = re.sub(r"\[[^]]+\]|[\x80-\xff]", spelt, one)
+        ones[true, wrong] = re.compile(one)
         out[true, wrong] = re.compile(f"(?:[\x00-\x7f]*(?:{one}))+")
-    return out
+    return ones, out
 
 
-_RUNS = _runs()
+_ONES, _RUNS = _runs()
 
 
 def stretches(text: str, true: str, wrong: str) -> list[tuple[int, int]]:
@@ -293,16 +312,22 @@ class CharModel:
         seen = np.maximum(np.minimum(self._bigrams[first], self._bigrams[second]) - own, 0.0)
         return np.log((seen + 2.0 * self._alone[char]) / (np.maximum(self._context[context] - own, seen) + 2.0))
 
-    def tokens(self, tokens: list[str], own: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Per token the log-probability and that of its least likely character.
-
-        With ``own`` = 1 the first is what the corpus says of the token but for the occurrence in question, which does not
-        speak for itself.
-        """
+    def tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token its log-probability, the same with one occurrence of it left out of the counts, and that of its least likely character."""
         context, char, starts = self.codes(tokens)
         p = self.each(context, char)
-        least = np.minimum.reduceat(p, starts)
-        return np.add.reduceat(self.each(context, char, own) if own else p, starts), least
+        return np.add.reduceat(p, starts), np.add.reduceat(self.each(context, char, 1.0), starts), np.minimum.reduceat(p, starts)
+
+    def gains(self, tokens: list[str], chains: list[str], undone: list[str]) -> np.ndarray:
+        """Log-likelihood ratios of the undone tokens to the tokens as they stand.
+
+        That bytes are valid UTF-8 is evidence of its own: there, the occurrence in question does not speak for itself. Other
+        chains undo anything, and a rare token would be taken for any other rare one.
+        """
+        whole, rest, _ = self.tokens(tokens)
+        stands = np.where([c in _UTF8_NAMES for c in chains], rest, whole)
+        # undone tokens may hold white space: it is scored like any other character
+        return self.tokens([t.replace(" ", "\xa0") for t in undone])[0] - stands + _strays(tokens)
 
 
 def _counted(weighted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +362,7 @@ _STRAY = re.compile("[�\x80-\x84\x86-\x9f]")
 def undone_tokens(vocabulary: DataFrame, model: CharModel) -> DataFrame:
     """(token, chain, undone, gain) for every chain that a suspicious token may have gone through.
 
-    ``gain`` is the log-likelihood ratio of the undone token to the token as it stands (but for one occurrence). A token with the
+    ``gain`` is the log-likelihood ratio of the undone token to the token as it stands. A token with the
     replacement character, or with stray control characters that no chain explains, has the chain ``lost``.
     """
     sent = vocabulary.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
@@ -348,7 +373,7 @@ def undone_tokens(vocabulary: DataFrame, model: CharModel) -> DataFrame:
             tokens = batch["token"].tolist()
             if not tokens:
                 continue
-            likely, least = model.tokens(tokens, 1.0)
+            least = model.tokens(tokens)[2]
             which, names, undone = [], [], []
             lost = []
             for n, token in enumerate(tokens):
@@ -366,18 +391,13 @@ def undone_tokens(vocabulary: DataFrame, model: CharModel) -> DataFrame:
             rows = [pd.DataFrame(lost, columns=["token", "chain", "undone", "gain"])] if lost else []
             if which:
                 found = pd.DataFrame({"token": [tokens[n] for n in which], "chain": names, "undone": undone})
-                rows.append(found.assign(gain=_likelihood(model, undone) - likely[which] + _strays(found["token"])))
+                rows.append(found.assign(gain=model.gains(found["token"].tolist(), names, undone)))
             if rows:
                 yield pd.concat(rows)
 
     return vocabulary.select("token").mapInPandas(score, "token string, chain string, undone string, gain double")
 
 
-def _likelihood(model: CharModel, texts: list[str]) -> np.ndarray:
-    # undone tokens may hold white space: it is scored like any other character
-    return model.tokens([t.replace(" ", "\xa0") for t in texts])[0]
-
-
 def _strays(tokens: Iterable[str]) -> np.ndarray:
     """Control characters are next to impossible in clean text, however many the corpus has of them."""
     return np.array([6.0 * len(_STRAY.findall(t)) for t in tokens])
@@ -392,7 +412,7 @@ def rescored(undone: DataFrame, model: CharModel) -> DataFrame:
             known = batch["chain"] != LOST
             some = batch[known]
             if len(some):
-                batch.loc[known, "gain"] = _likelihood(sent.value, some["undone"].tolist()) - sent.value.tokens(some["token"].tolist(), 1.0)[0] + _strays(some["token"])
+                batch.loc[known, "gain"] = sent.value.gains(some["token"].tolist(), some["chain"].tolist(), some["undone"].tolist())
             yield batch
 
     return undone.mapInPandas(score, undone.schema)
@@ -436,7 +456,7 @@ def find_damage(records: DataFrame, most_rounds: int = 8, settled: float = 1e-3,
     for n in range(1, most_rounds + 1):
         forget(expected)
         expected = stage(_expected(found, scores, prior), "expected")
-        here = stage(expected.groupBy("group", "chain").agg(F.sum(F.col("posterior") / F.col("rows")).alias("expected")), "expected-shares")
+        here = stage(expected.groupBy("group", "chain").agg(F.sum("posterior").alias("expected")), "expected-shares")
         everywhere = {r["chain"]: r["e"] for r in here.groupBy("chain").agg(F.sum("expected").alias("e")).collect()}  # a row per chain
         forget(prior)
         prior = stage(_priors(here, sizes, everywhere, whole), "priors")
@@ -445,7 +465,7 @@ def find_damage(records: DataFrame, most_rounds: int = 8, settled: float = 1e-3,
         if abs(damage - before) <= settled * max(damage, 1.0) or n == most_rounds:
             break
         before = damage
-        model = CharModel(*_without_damage(base, expected))
+        model = CharModel(*_without_damage(base, found, scores, expected))
         forget(staged)
         staged = stage(rescored(undone, model), "scores")
         scores = staged.where(likely)
@@ -455,25 +475,23 @@ def find_damage(records: DataFrame, most_rounds: int = 8, settled: float = 1e-3,
 
 
 def _expected(found: DataFrame, scores: DataFrame, prior: DataFrame | None) -> DataFrame:
-    """(rec, group, chain, token, times, gain, rows, posterior, damage): the E step, one row per record, chain and token that speaks for
-    it; ``rows`` counts those of a record and chain. Tokens are joined once, and one exchange by record serves all sums."""
-    rows = spread_join(found, scores.select("token", "chain", "gain"), "token", row_bytes=32)
+    """(rec, group, chain, posterior, damage): the E step, one row per record and chain that some of its tokens speak for."""
+    clean = math.log(1 - STRETCH)
+    log_mix = F.log(F.lit(1 - STRETCH) + F.lit(STRETCH) * F.exp(F.least("gain", F.lit(300.0))))
+    rows = spread_join(found, scores.select("token", "chain", (log_mix - clean).alias("speaks")), "token", row_bytes=32)
+    # what a record is ("group", "weight", "length") is the same in all its rows
+    rows = rows.groupBy("rec", "chain").agg(F.sum(F.col("n") * F.col("speaks")).alias("evidence"), F.first("group").alias("group"), F.first("weight").alias("weight"), F.first("length").alias("length"))
     if prior is None:
         rows = rows.withColumn("prior", F.lit(FIRST_DAMAGE / (len(CHAINS) + 1)))
     else:
         rows = spread_join(rows, prior, ["group", "chain"], "left", row_bytes=40).withColumn("prior", F.coalesce("prior", F.lit(1e-6)))
-    clean = math.log(1 - STRETCH)
-    log_mix = F.log(F.lit(1 - STRETCH) + F.lit(STRETCH) * F.exp(F.least("gain", F.lit(300.0))))
-    record, chain = Window.partitionBy("rec"), Window.partitionBy("rec", "chain")
-    rows = rows.repartition("rec").withColumn("rows", F.count(F.lit(1)).over(chain))
     # tokens that the chain does not explain stand as clean ones inside the record, and the stretch may begin and end anywhere
-    evidence = F.sum(F.col("n") * (log_mix - clean)).over(chain) + F.col("weight") * clean - 2 * F.log(F.col("length").cast("double"))
-    rows = rows.withColumn("joint", evidence + F.log("prior"))
-    rows = rows.withColumn("top", F.greatest(F.max("joint").over(record), F.lit(0.0)))
-    rows = rows.withColumn("mass", F.exp(F.col("joint") - F.col("top")))
-    rows = rows.withColumn("bad", F.sum(F.col("mass") / F.col("rows")).over(record))
+    joint = F.col("evidence") + F.col("weight") * clean - 2 * F.log(F.col("length").cast("double")) + F.log("prior")
+    record = Window.partitionBy("rec")
+    rows = rows.withColumn("joint", joint).withColumn("top", F.greatest(F.max("joint").over(record), F.lit(0.0)))
+    rows = rows.withColumn("mass", F.exp(F.col("joint") - F.col("top"))).withColumn("bad", F.sum("mass").over(record))
     every = F.col("bad") + F.exp(-F.col("top"))
-    return rows.select("rec", "group", "chain", "token", "times", "gain", "rows", (F.col("mass") / every).alias("posterior"), (F.col("bad") / every).alias("damage"))
+    return rows.select("rec", "group", "chain", (F.col("mass") / every).alias("posterior"), (F.col("bad") / every).alias("damage"))
 
 
 def _priors(here: DataFrame, sizes: DataFrame, everywhere: dict[str, float], whole: int) -> DataFrame:
@@ -485,13 +503,16 @@ def _priors(here: DataFrame, sizes: DataFrame, everywhere: dict[str, float], who
     return shares.select("group", "chain", ((F.col("expected") + strength * F.try_element_at(table, F.col("chain"))) / (F.col("records") + strength)).alias("prior"))
 
 
-def _without_damage(base: tuple[np.ndarray, np.ndarray], expected: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _without_damage(base: tuple[np.ndarray, np.ndarray], found: DataFrame, scores: DataFrame, expected: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The counts with the expected damaged occurrences taken out. Their undone forms are not put in: that
     would let a wrong repair speak for itself in the next round."""
     # within a damaged record a token is damaged as far as its own gain says
     odds = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least("gain", F.lit(30.0)), F.lit(-30.0))))
-    damaged = expected.where("posterior > 0.01").groupBy("token").agg(F.sum(F.col("times") * F.col("posterior") * odds).alias("weight"))
-    out = _counted(damaged)
+    damaged = stage(expected.where("posterior > 0.01").select("rec", "chain", "posterior"), "damaged-chains")
+    held = found.select("rec", "token", "times").join(broadcast_if_small(damaged, 40), "rec")
+    weights = held.groupBy("token", "chain").agg(F.sum(F.col("times") * F.col("posterior")).alias("w"))
+    out = _counted(weights.join(scores.select("token", "chain", odds.alias("odds")), ["token", "chain"]).groupBy("token").agg(F.sum(F.col("w") * F.col("odds")).alias("weight")))
+    forget(damaged)
     return base[0] - out[0], base[1] - out[1]
 
 
