@@ -92,6 +92,8 @@ def _tables() -> dict[str, dict[str, bytes]]:
 _TABLES = _tables()
 _ALPHABETS = {name: frozenset(table) if table else frozenset(map(chr, range(256))) for name, table in _TABLES.items()}
 _PLAIN = frozenset(map(chr, range(128)))
+_ANY_PAGE = frozenset().union(*_ALPHABETS.values()) - _PLAIN
+_WIDE = frozenset(name for name, steps in CHAINS.items() if steps[-1][1] not in _ALPHABETS)
 #: Control and private characters, which no repaired text holds.
 _UNFIT = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ue000-\uf8ff]")
 
@@ -99,6 +101,8 @@ _UNFIT = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ue000-\uf8ff]")
 def possible(token: str, names: Iterable[str]) -> Iterator[tuple[str, str]]:
     """(chain, undone) of the chains among ``names`` that the token may have gone through."""
     special, known = frozenset(token) - _PLAIN, {}
+    if special.isdisjoint(_ANY_PAGE):  # nothing of a single-byte page: most text in Chinese characters
+        names = [n for n in names if n in _WIDE]
     for chain in names:
         step = CHAINS[chain][-1]
         if step not in known:
