@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,25 +99,36 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
     return F.broadcast(df) if seen["n"] <= most and seen["bytes"] <= limit else df
 
 
-#: Rows of one key that a task of :func:`spread_join` gets before the key is split.
-KEY_ROWS = 20_000
+#: Rows of one key that a task of :func:`spread_join` gets before the key is split, and classes of keys that are counted first.
+KEY_ROWS, KEY_CLASSES = 20_000, 1 << 16
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", row_bytes: int | None = None, most: int = KEY_ROWS) -> DataFrame:
+def heavy_keys(df: DataFrame, on: list[str], most: int = KEY_ROWS) -> DataFrame:
+    """(on..., __rows): the keys that hold more than ``most`` rows of ``df``, at most one in ``most`` rows.
+
+    Rows are counted by a hash of the key first, with few classes and so with little to shuffle; only keys of classes over the limit
+    are counted each. Null keys are left out.
+    """
+    keys = df.dropna(subset=on).select(*on, F.pmod(F.xxhash64(*on), F.lit(KEY_CLASSES)).cast("int").alias("__class"))
+    full = stage(keys.groupBy("__class").agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > most).select("__class"), "full-classes")
+    each = keys.join(F.broadcast(full), "__class", "left_semi")  # at most KEY_CLASSES numbers
+    return stage(each.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > most), "heavy-keys")
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", row_bytes: int | None = None, most: int = KEY_ROWS, heavy: DataFrame | None = None) -> DataFrame:
     """``big.join(small, on, how)``, inner or left, in which a key that holds more than ``most`` rows of ``big`` is split over several tasks.
 
-    Rows are counted per key with map-side combining; only keys over the limit (at most one in ``most`` rows) are looked up. The rows
-    of such a key are dealt to parts by a hash of the row, and the rows of ``small`` are repeated for each part. Null keys match
-    nothing. With ``row_bytes`` (what a row of ``small`` takes at least) ``small`` is measured first and broadcast if it fits.
+    The rows of such a key are dealt to parts by a hash of the row, and the rows of ``small`` are repeated for each part. Null keys match
+    nothing. With ``row_bytes`` (what a row of ``small`` takes at least) ``small`` is measured first and broadcast if it fits. ``heavy`` are the
+    :func:`heavy_keys` of ``big`` where they are known.
     """
     on = [on] if isinstance(on, str) else on
     if row_bytes is not None:
         held = broadcast_if_small(small, row_bytes)
         if held is not small:
             return big.join(held, on, how)
-    heavy = big.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > most)
-    heavy = stage(heavy.select(*on, F.ceil(F.col("__rows") / most).cast("int").alias("__parts")), "heavy-keys")
-    parts = broadcast_if_small(heavy, 24)
+    heavy = heavy_keys(big, on, most) if heavy is None else heavy
+    parts = broadcast_if_small(heavy.select(*on, F.ceil(F.col("__rows") / most).cast("int").alias("__parts")), 24)
     count = F.coalesce("__parts", F.lit(1))
     # the part follows from the row, so that a task that runs again deals its rows out alike
     rest = [F.col(f"`{c}`") for c in big.columns if c not in on] or [F.lit(0)]
@@ -126,6 +137,22 @@ def spread_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str
     return dealt.join(repeated, [*on, "__part"], how).drop("__part")
 
 
+def spread_rank(df: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row, from 0, among those of equal ``by`` in the order of the columns ``order``, none of them null.
+
+    Rows are cut into ranges of (by, order), so a key that holds many rows lies in many tasks; the rows before a range come from
+    one count per range and key. ``order`` should be total. What is ranked is written once.
+    """
+    ranges = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("__at", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id())
+    placed = stage(ranges, "ranges")
+    starts = placed.groupBy("__at", by).agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy(by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select("__at", by, (before - F.col("__first")).alias("__shift"))
+    # a range holds a key's rows in one task's share at most
+    small = broadcast_if_small(starts, 40)
+    return placed.join(small, ["__at", by]).withColumn(name, F.col("__n") + F.col("__shift")).drop("__at", "__n", "__shift")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or ``wanted_2`` and so on if ``df`` already has a column of that name (any case)."""
     taken = {c.lower() for c in df.columns}

@@ -1,6 +1,7 @@
 """Lineage cuts, measured broadcasts, joins on hot keys, and how tables are dealt out."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera import runtime
@@ -43,3 +44,17 @@ def test_tables_are_dealt_out_by_row_groups(spark, sf, tmp_path):
     assert tables._row_groups(spark, f"{tmp_path}/one.parquet", 4) == 1
     dealt = tables.spread_table(spark, str(tmp_path), "one", "id")
     assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt.count() == 10
+
+
+def test_heavy_keys(spark):
+    rows = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") % 3 == 0, F.lit("a")).when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"))
+    assert [tuple(r) for r in runtime.heavy_keys(rows, ["k"], most=900).collect()] == [("a", 1000)]
+    assert runtime.heavy_keys(rows, ["k"], most=1000).isEmpty()
+
+
+def test_ranks_of_a_hot_key(spark):
+    rows = spark.range(0, 20_000, 1, 4).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), (F.col("id") * 7919 % 20_000).alias("o"))
+    ranked = runtime.spread_rank(rows, "k", ["o"], "place")
+    plain = rows.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("bigint") - 1)
+    assert ranked.exceptAll(plain).isEmpty() and ranked.count() == 20_000
+    assert runtime.spread_rank(rows.limit(0), "k", ["o"], "place").isEmpty()
