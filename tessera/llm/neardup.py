@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import WordHasher, gram_hashes, mix, plain_words
-from tessera.runtime import broadcast_if_small, stage
+from tessera.runtime import broadcast_if_small, forget, heavy_keys, spread_join, stage
 
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
@@ -132,7 +132,8 @@ class NearDuplicates:
 
     ``members``: (id, rep) for every record that takes part; ``links``: (a, b, similarity) between representatives, a < b,
     pairs of distinct texts whose shingle sets share at least ``threshold`` of their union. Every such link is exact, but a pair
-    of similarity s is missed with probability (1 - s^rows)^bands: with 32 bands of 4 rows 1.2 % at 0.6, 0.2 % at 0.65.
+    of similarity s is missed with probability (1 - s^rows)^bands: with 40 bands of 3 rows 6e-5 at 0.6 and less above (and 3e-5 by the
+    sketch, at the threshold itself). More bands bring it as low as is wanted.
 
     Words are runs of letters and digits, lower-cased; texts with the same words are copies. Records
     with a null key or text, or fewer than ``min_words`` words (so also empty and blank ones), take no part. Keys
@@ -140,7 +141,7 @@ class NearDuplicates:
     results. The texts of very long records are processed whole. Other columns are ignored.
     """
 
-    def __init__(self, df: DataFrame, key: str = "id", text: str = "text", threshold: float = 0.8, shingle: int = 5, min_words: int = 5, bands: int = 32, rows: int = 4, block_rows: int = BLOCK_ROWS):
+    def __init__(self, df: DataFrame, key: str = "id", text: str = "text", threshold: float = 0.8, shingle: int = 5, min_words: int = 5, bands: int = 40, rows: int = 3, block_rows: int = BLOCK_ROWS):
         self.threshold, self.shingle, self.min_words, self.samples, self.block_rows = threshold, shingle, min_words, bands * rows, block_rows
         self._texts = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
         sketch = [f"s{w}" for w in range(SKETCH_WORDS)]
@@ -149,14 +150,16 @@ class NearDuplicates:
         reps = one.select("digest", F.col("x.id").alias("rep"), F.col("x.bands").alias("bands"), *[F.col(f"x.{s}").alias(s) for s in sketch])
         # the number is fixed by writing it: a lost executor cannot change it
         self._reps = stage(reps.withColumn("n", F.monotonically_increasing_id()), "representatives")
-        self.members = signed.select("id", "digest").distinct().join(self._reps.select("digest", "rep", "n"), "digest").select("id", "rep", "n")
+        self.members = spread_join(signed.select("id", "digest").distinct(), self._reps.select("digest", "rep", "n"), "digest").select("id", "rep", "n")
         self._sketches = self._reps.select("n", *sketch)
         self.links = self._link()
 
     def _candidates(self) -> DataFrame:
         banded = self._reps.select("n", F.explode("bands").alias("band"))
-        counted = banded.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("m > 1")
-        shared = stage(counted, "shared-bands")
+        # the few buckets that are too large for one task are counted apart from the very many others
+        full = broadcast_if_small(heavy_keys(banded, ["band"]).withColumnRenamed("__rows", "m"), 24)
+        counted = banded.join(full.select("band"), "band", "left_anti").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("m > 1")
+        shared = stage(counted.unionByName(banded.join(full, "band")), "shared-bands")
         cold = pairs_within(shared.where(F.col("m") <= self.block_rows), "band", "n", block_rows=self.block_rows).select("a", "b")
         hot_rows = shared.where(F.col("m") > self.block_rows)
         cold = cold.distinct()
@@ -200,20 +203,24 @@ class NearDuplicates:
                 out.append(both / (len(x) + len(y) - both) if len(x) and len(y) else 0.0)
             return pd.Series(out, dtype="float64")
 
-        joined = pairs.join(grams.select(F.col("n").alias("a"), F.col("grams").alias("left")), "a").join(grams.select(F.col("n").alias("b"), F.col("grams").alias("right")), "b")
+        # a record may be a candidate with very many others
+        joined = spread_join(pairs, grams.select(F.col("n").alias("a"), F.col("grams").alias("left")), "a", heavy=heavy_keys(pairs, ["a"]))
+        joined = spread_join(joined, grams.select(F.col("n").alias("b"), F.col("grams").alias("right")), "b", heavy=heavy_keys(pairs, ["b"]))
         scored = joined.select("a", "b", jaccard("left", "right").alias("similarity")).where(F.col("similarity") >= self.threshold)
         return stage(scored, "links")
 
     def record_pairs(self) -> DataFrame:
-        """(id_a, id_b), id_a < id_b: the links written out for the records, copies included."""
+        """(id_a, id_b), id_a < id_b: the links written out for the records, copies included.
+
+        n copies of a text are n * (n - 1) / 2 pairs; ``links`` with ``members`` say the same in n rows.
+        """
         members = stage(self.members, "members")
-        copied = members.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("n"))).where("m > 1")
-        copies = pairs_within(copied, "n", "id", block_rows=self.block_rows).select("a", "b")
-        across = (
-            self.links.join(members.select(F.col("n").alias("a"), F.col("id").alias("x")), "a")
-            .join(members.select(F.col("n").alias("b"), F.col("id").alias("y")), "b")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        )
+        heavy = heavy_keys(members, ["n"])
+        counts = members.groupBy("n").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        copies = pairs_within(spread_join(members, counts, "n", heavy=heavy), "n", "id", block_rows=self.block_rows).select("a", "b")
+        # the class with more copies meets the links split, and so do the links of a text with very many of them
+        left = spread_join(members.select(F.col("n").alias("a"), F.col("id").alias("x")), self.links.select("a", "b"), "a", heavy=heavy.withColumnRenamed("n", "a"))
+        across = spread_join(left, members.select(F.col("n").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         return copies.unionByName(across).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
     def groups(self) -> DataFrame:
@@ -227,11 +234,13 @@ class NearDuplicates:
         root = components(both)
         degree = both.groupBy("x").agg(F.count(F.lit(1)).alias("links"))
         members = stage(self.members, "members")
+        heavy = heavy_keys(members, ["n"])
         by_rep = members.groupBy("n").agg(F.count(F.lit(1)).alias("copies"), F.min("rep").alias("rep"))
         reps = by_rep.join(root.withColumnRenamed("node", "n"), "n", "left").join(degree.withColumnRenamed("x", "n"), "n", "left")
         reps = stage(reps.select("n", "rep", "copies", F.coalesce("root", "n").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
         classes = reps.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-        return members.select("id", "n").join(reps.drop("rep"), "n").join(classes, "root").select("id", "class_id", "class_size", "copies", "links")
+        reps = reps.drop("rep").join(classes, "root")
+        return spread_join(members.select("id", "n"), reps, "n", heavy=heavy).select("id", "class_id", "class_size", "copies", "links")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -242,13 +251,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     reaches the driver.
     """
     edges = stage(edges.select("x", "y"), "edges")
+    heavy = heavy_keys(edges, ["y"])
     labels = stage(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "labels")
     for _ in range(most_rounds):
-        near = edges.join(labels.select(F.col("node").alias("y"), F.col("root")), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
+        near = spread_join(edges, labels.select(F.col("node").alias("y"), F.col("root")), "y", heavy=heavy).groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = stage(lower.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
-        labels = new.select("node", "root")
+        forget(labels)
+        labels, labels._staged_at = new.select("node", "root"), new._staged_at
         if new.where("was <> root").isEmpty():
             return labels
     raise RuntimeError(f"labels still change after {most_rounds} rounds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import encoding, leakage, mixing, neardup, reading, splitting, tokens, vectors
@@ -76,6 +76,46 @@ def p4_book_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.withColumn("total_pages_agrees", F.coalesce(F.col("total_pages") == F.col("n_pages"), F.lit(False)))
 
 
+@query(
+    """
+    SELECT page_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_hash, true AS within_limit, true AS overlaps_fit, true AS ends_fit
+    FROM page_contents WHERE length(text) > 3000
+    """
+)
+def p4_page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every page that was cut: the text that its pieces give when laid over each other, and whether they keep to the limits."""
+    pieces = _page_pieces(spark, sf_dir)
+    before = Window.partitionBy("page_id").orderBy("piece_no")
+    placed = pieces.withColumn("reached", F.coalesce(F.lag("piece_end").over(before), F.lit(0)))
+    size = F.col("piece_end") - F.col("piece_start")
+    shared = F.col("reached") - F.col("piece_start")
+    new = F.substring("piece_text", shared + 1, size)
+    return placed.groupBy("page_id").agg(
+        F.max("piece_end").alias("n_chars"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("piece_no"), new.alias("new")))), lambda x: x["new"]), "")).alias("text_hash"),
+        F.bool_and((size <= 3000) & (F.length("piece_text") == size)).alias("within_limit"),
+        F.bool_and(shared.between(0, 200)).alias("overlaps_fit"),
+        (F.max_by("cut_at", "piece_no") == "end").alias("ends_fit"),
+    )
+
+
+@query(
+    """
+    SELECT parsed_book_id, CAST(count(DISTINCT page_number) AS INTEGER) AS n_pages, min(page_number) AS first_page, max(page_number) AS last_page, true AS within_limit, true AS covers
+    FROM page_contents GROUP BY parsed_book_id HAVING count(DISTINCT page_number) > 60
+    """
+)
+def p4_run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every book that was cut: what its runs cover, and whether they keep to the limit and overlap by two pages."""
+    return _book_runs(spark, sf_dir).groupBy("parsed_book_id").agg(
+        F.max("n_pages").alias("n_pages"),
+        F.min("first_page").alias("first_page"),
+        F.max("last_page").alias("last_page"),
+        F.bool_and(F.col("run_pages") <= 60).alias("within_limit"),
+        (F.sum("run_pages") - 2 * (F.count(F.lit(1)) - 1) == F.max("n_pages")).alias("covers"),
+    )
+
+
 # Problem 6: test items in the corpus
 
 
@@ -103,7 +143,15 @@ def _near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates
     return neardup.NearDuplicates(spread_table(spark, sf_dir, "parsed_documents", "id", "text"), threshold=0.6, shingle=3, min_words=20)
 
 
-@query()
+_P1_SQL = """
+    cut AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM parsed_documents WHERE text IS NOT NULL),
+    shingles AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM cut WHERE len(w) >= 20)),
+    sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+    common AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id)
+"""
+
+
+@query(f"WITH {_P1_SQL} SELECT x AS id_a, y AS id_b FROM common JOIN sizes p ON p.id = x JOIN sizes q ON q.id = y WHERE c >= 0.6 * (p.n + q.n - c)")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that share at least 0.6 of their runs of three words."""
     return _near_duplicates(spark, sf_dir).record_pairs()
@@ -122,7 +170,15 @@ def _vector_search(spark: SparkSession, sf_dir: str) -> vectors.VectorSearch:
     return vectors.VectorSearch(spread_table(spark, sf_dir, "parsed_documents", "id", "embedding"))
 
 
-@query()
+@query(
+    """
+    WITH units AS (SELECT id, CAST(embedding AS DOUBLE[64]) AS v FROM parsed_documents
+        WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_min(embedding) < list_max(embedding)),
+    near AS (SELECT a.id AS x, b.id AS y, round(array_cosine_similarity(a.v, b.v), 7) AS c FROM units a JOIN units b ON a.id <> b.id WHERE array_cosine_similarity(a.v, b.v) >= 0.9),
+    ranked AS (SELECT x, y, c FROM near QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 10)
+    SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM ranked WHERE c >= 0.92
+    """
+)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a cosine of at least 0.92 of which one is among the ten most similar rows of the other."""
     near = _vector_search(spark, sf_dir).neighbours(at_least=0.92)
@@ -137,19 +193,52 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Problem 2: token budget
 
+# Pieces are cut by the tokenizer's pattern; each distinct one starts as single bytes, and in each step the first of the adjacent pairs
+# of the least rank is joined, until no rule applies.
+_P2_SQL = """
+    rules AS (SELECT min(merge_rank) AS rank, left_hex || '|' || right_hex AS pair, any_value(left_hex || right_hex) AS joined FROM tokenizer_merges GROUP BY left_hex || '|' || right_hex),
+    cut AS (SELECT row_number() OVER () AS r, id, source, language, url, text, regexp_extract_all(coalesce(text, ''), ' ?\\p{L}+| ?\\p{N}{1,3}| ?[^\\s\\v\\x{85}\\p{Z}\\p{L}\\p{N}]+|[\\s\\v\\x{85}\\p{Z}]+') AS pieces FROM parsed_documents),
+    used AS (SELECT r, unnest(pieces) AS piece FROM cut),
+    steps AS (
+        SELECT piece, regexp_extract_all(lower(hex(encode(piece))), '..') AS parts, false AS done FROM (SELECT DISTINCT piece FROM used)
+        UNION ALL
+        SELECT piece, CASE WHEN spot IS NULL THEN parts ELSE list_concat(list_concat(parts[:spot - 1], [parts[spot] || parts[spot + 1]]), parts[spot + 2:]) END, spot IS NULL
+        FROM (SELECT s.piece, any_value(s.parts) AS parts, arg_min(s.i, rules.rank * 1000000 + s.i) AS spot
+              FROM (SELECT piece, parts, unnest(range(1, greatest(len(parts), 2))) AS i FROM steps WHERE NOT done) s
+              LEFT JOIN rules ON rules.pair = s.parts[s.i] || '|' || s.parts[s.i + 1] GROUP BY s.piece)
+    ),
+    lengths AS (SELECT piece, len(parts) AS tokens FROM steps WHERE done),
+    counted AS (SELECT r, sum(tokens) AS tokens FROM used JOIN lengths USING (piece) GROUP BY r),
+    docs AS (SELECT cut.*, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens FROM cut LEFT JOIN counted USING (r))
+"""
+_BLANKS = "\\s\\v\\x{85}\\p{Z}"
+_LANGUAGES_SQL = " ".join(f"WHEN '{short}' THEN '{name}'" for short, name in tokens.LANGUAGE_ALIASES.items())
+_P2_TOTALS_SQL = f"""
+    trimmed AS (SELECT *, regexp_replace(source, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g') AS s, lower(regexp_replace(language, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')) AS l,
+        lower(regexp_replace(url, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')) AS u FROM docs),
+    facts AS (SELECT coalesce(nullif(replace(lower(s), '-', '_'), ''), 'unknown') AS source, coalesce(nullif(CASE l {_LANGUAGES_SQL} ELSE l END, ''), 'unknown') AS language,
+        coalesce(nullif(regexp_replace(coalesce(nullif(regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)', 1), ''), regexp_extract(u, '^((?:[a-z0-9-]+\\.)+[a-z0-9-]+)(?::\\d+)?(?:[/?#]|$)', 1)), '^www\\.', ''), ''), 'unknown') AS host,
+        tokens, coalesce(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) >= 20, false) AS usable FROM trimmed)
+"""
+
 
 def _merge_tokenizer(spark: SparkSession, sf_dir: str) -> tokens.MergeTokenizer:
     return tokens.MergeTokenizer.from_table(table(spark, sf_dir, "tokenizer_merges"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_P2_SQL}, {_P2_TOTALS_SQL}
+    SELECT CASE grouping(source, language, host) WHEN 0 THEN 'slice' WHEN 3 THEN 'source' WHEN 5 THEN 'language' WHEN 6 THEN 'host' ELSE 'all' END AS level, source, language, host, count(*) AS documents,
+        CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, count(*) FILTER (WHERE usable) AS usable_documents, CAST(coalesce(sum(tokens) FILTER (WHERE usable), 0) AS BIGINT) AS usable_tokens
+    FROM facts GROUP BY GROUPING SETS ((source, language, host), (source), (language), (host), ())"""
+)
 def p2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all and of usable texts by source, language and host."""
     docs = spread_table(spark, sf_dir, "parsed_documents", "id", "text", "source", "language", "url")
     return tokens.token_totals(docs, _merge_tokenizer(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_P2_SQL} SELECT id, tokens FROM docs")
 def p2_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every record's text."""
     return tokens.row_tokens(spread_table(spark, sf_dir, "parsed_documents", "id", "text"), _merge_tokenizer(spark, sf_dir), "text", "id")

@@ -3,13 +3,15 @@
 Every position of a text gets a boundary strength (paragraph > line > sentence > clause > space >
 none). A sparse table answers range-maximum queries over those strengths, so each cut is the strongest
 boundary in the permissible length window, ties going to the right-most; the next piece starts at the
-strongest boundary inside the overlap window before the cut.
+strongest boundary inside the overlap window before the cut, ties going to the left-most, so that the overlap comes
+close to what was asked for.
 
 Spark does the selection (only oversized rows leave the JVM) and the parallelism; a task holds one
 Arrow batch of texts and, for each of them, a sparse table over one block of it, so memory does not
 grow with the length of a text. Books are cut in the same way over their pages, where a page that
-opens a chapter is the stronger boundary; a book's pages are handled in strides of a fixed number of
-pages, so no group is unbounded.
+opens a chapter is the stronger boundary. A book's pages are handled in strides of a fixed number of pages: each stride
+tells, for every page at which a run may enter it, at which page of the next stride the runs leave it; these small tables are
+chained per book, and each stride then gives its runs. The result is that of one pass over the book, whatever the stride.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.runtime import free_name, spread_join, spread_rank, stage
+
 #: Names of the boundary strengths 0..6; a cut at strength 0 falls inside a word.
 BOUNDARIES = ("none", "space", "clause", "sentence", "line", "paragraph", "chapter")
 
@@ -95,9 +99,8 @@ def cut(strength: np.ndarray, most: int, overlap: int, least: int) -> list[tuple
         out.append((start, end))
         following = end
         if overlap:
-            following = blocks.strongest(end - overlap, end - 1)
-            if strength[following] == 0:
-                following = end - overlap
+            # a window of a few characters: the first of the strongest; without any boundary the whole overlap
+            following = end - overlap + int(strength[end - overlap : end].argmax())
         start = following
     out.append((start, length))
     return out
@@ -144,8 +147,6 @@ def split_texts(df: DataFrame, text: str = "text", max_chars: int = 3000, overla
         for batch in texts:
             yield pd.Series([[{"s": a, "e": b, "k": k} for a, b, k in cut_text(t, max_chars, overlap, least)] for t in batch])
 
-    from tessera.runtime import free_name
-
     names = {n: free_name(df, n) for n in ("piece_no", "n_pieces", "piece_start", "piece_end", "cut_at", "piece_text")}
     keep = [c for c in df.columns if c != text]
     whole, at, piece = "__whole", "__bounds", "__piece"
@@ -166,10 +167,9 @@ def split_texts(df: DataFrame, text: str = "text", max_chars: int = 3000, overla
 
 
 def opens_chapter(text: Column) -> Column:
-    """Whether a page's first line is a heading, as far as its first characters tell."""
-    head = F.ltrim(F.substring(text, 1, 120))
-    first = F.substring_index(head, "\n", 1)
-    numbered = first.rlike(r"(?iu)^\s*(chapter|section|part|kapitel|chapitre|cap[ií]tulo|rozdział|глава|第)\s*[\divxlc]")
+    """Whether a page's first line that is not blank is a heading; the line is read whole."""
+    first = F.regexp_extract(text, r"^(?U)\s*([^\r\n]*)", 1)
+    numbered = first.rlike(r"(?iu)^(chapter|section|part|kapitel|chapitre|cap[ií]tulo|rozdział|глава|第)\s*[\divxlc]")
     capitals = first.rlike(r"^[\p{Lu}\p{N}\s\p{P}]{4,80}$") & first.rlike(r"\p{Lu}{3}")
     return F.coalesce(numbered | capitals, F.lit(False))
 
@@ -183,8 +183,7 @@ def split_runs(pages: DataFrame, book: str = "parsed_book_id", number: str = "pa
 
     Page numbers extracted twice count once (a chapter heading in either copy counts). Null page
     numbers or book ids are left out. Books within the limit do not come out; an empty table gives an
-    empty result. Books of more than ``stride`` pages are cut stride by stride, consecutive strides
-    sharing ``overlap`` pages as well, so that no group grows without bound.
+    empty result. ``stride`` bounds what one task holds of a book and changes nothing else.
     """
     least = min_pages if min_pages is not None else max(overlap + 1, max_pages // 2)
     if not 0 <= overlap < least <= max_pages or stride <= max_pages:
@@ -195,34 +194,47 @@ def split_runs(pages: DataFrame, book: str = "parsed_book_id", number: str = "pa
         .groupBy(b.alias("book"), p.cast("int").alias("page"))
         .agg(F.max(opens_chapter(F.col(f"`{text}`")).cast("tinyint")).alias("opens"))
     )
+    distinct = stage(distinct, "distinct-pages")
     counts = distinct.groupBy("book").agg(F.count(F.lit(1)).cast("int").alias("n_pages")).where(F.col("n_pages") > max_pages)
-    ranked = distinct.join(counts, "book").withColumn("rank", F.row_number().over(Window.partitionBy("book").orderBy("page")) - 1)
-    step = stride - overlap
-    first = F.floor(F.col("rank") / step).cast("int")
-    # a page at the start of a stride also belongs to the end of the one before
-    both = F.when((first > 0) & (F.col("rank") % step < overlap), F.array(first - 1, first)).otherwise(F.array(first))
-    grouped = (
+    ranked = spread_rank(spread_join(distinct, counts, "book", row_bytes=40), "book", ["page"], "rank")
+    part = F.floor(F.col("rank") / stride).cast("int")
+    # the first pages of a stride are also what the one before looks ahead to
+    both = F.when((part > 0) & (F.col("rank") % stride <= max_pages), F.array(part - 1, part)).otherwise(F.array(part))
+    strides = (
         ranked.select("book", "n_pages", "page", "opens", F.explode(both).alias("part"))
         .groupBy("book", "n_pages", "part")
         .agg(F.array_sort(F.collect_list(F.struct("page", "opens"))).alias("pages"))
-        .where((F.size("pages") > overlap) | (F.col("part") == 0))
     )
-    schema = "array<struct<f:int,l:int,n:int>>"
+    strides = stage(strides.select("book", "n_pages", "part", F.col("pages.opens").alias("opens"), F.col("pages.page").alias("numbers")), "strides")
 
-    @F.pandas_udf(schema)
-    def runs(opens: pd.Series, numbers: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<int>")
+    def exits(opens: pd.Series, part: pd.Series, n_pages: pd.Series) -> pd.Series:
+        # where the runs enter the next stride, by where they enter this one
+        return pd.Series([[cut_pages(_page_strength(o), n - k * stride, max_pages, overlap, least, e, stride)[1] for e in range(max_pages)] for o, k, n in zip(opens, part, n_pages)])
+
+    @F.pandas_udf("array<struct<f:int,l:int,n:int>>")
+    def runs(opens: pd.Series, numbers: pd.Series, part: pd.Series, n_pages: pd.Series, entry: pd.Series) -> pd.Series:
         out = []
-        for chapters, nums in zip(opens, numbers):
-            strength = np.append(np.where(np.asarray(chapters) > 0, 6, 1), 6).astype(np.int8)
-            out.append([{"f": int(nums[a]), "l": int(nums[z - 1]), "n": z - a} for a, z in cut_pages(strength, max_pages, overlap, least)])
+        for o, pages_, k, n, e in zip(opens, numbers, part, n_pages, entry):
+            cuts = cut_pages(_page_strength(o), n - k * stride, max_pages, overlap, least, e, stride)[0] if e >= 0 else []
+            out.append([{"f": int(pages_[a]), "l": int(pages_[z - 1]), "n": z - a} for a, z in cuts])
         return pd.Series(out)
 
-    pieces = grouped.select("book", "n_pages", "part", F.posexplode(runs(F.col("pages.opens"), F.col("pages.page"))).alias("pos", "run"))
-    order = Window.partitionBy("book").orderBy("part", "pos")
-    return pieces.select(
+    tables = strides.where(F.col("n_pages") > stride).select("book", "part", exits("opens", "part", "n_pages").alias("exits"))
+    chain = tables.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("part", "exits"))).alias("t"))
+    entries = F.aggregate(
+        "t", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.when(F.element_at(acc, -1) < 0, F.lit(-1)).otherwise(F.element_at(x["exits"], F.greatest(F.element_at(acc, -1), F.lit(0)) + 1))))
+    )
+    entered = chain.select("book", F.posexplode(entries).alias("part", "entry"))
+    placed = strides.join(entered, ["book", "part"], "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
+    cut = stage(placed.select("book", "n_pages", "part", runs("opens", "numbers", "part", "n_pages", "entry").alias("runs")), "runs")
+    # a row per stride: few per book
+    whole, before = Window.partitionBy("book"), Window.partitionBy("book").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.select("*", F.coalesce(F.sum(F.size("runs")).over(before), F.lit(0)).alias("skip"), F.sum(F.size("runs")).over(whole).alias("n_runs"))
+    return sizes.select("*", F.posexplode("runs").alias("pos", "run")).select(
         F.col("book").alias(book),
-        (F.row_number().over(order) - 1).alias("run_no"),
-        F.count(F.lit(1)).over(Window.partitionBy("book")).cast("int").alias("n_runs"),
+        (F.col("skip") + F.col("pos")).cast("int").alias("run_no"),
+        F.col("n_runs").cast("int").alias("n_runs"),
         "n_pages",
         F.col("run.f").alias("first_page"),
         F.col("run.l").alias("last_page"),
@@ -230,15 +242,23 @@ def split_runs(pages: DataFrame, book: str = "parsed_book_id", number: str = "pa
     )
 
 
-def cut_pages(strength: np.ndarray, most: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """Like :func:`cut`, but the overlap is exactly ``overlap`` pages."""
-    length, start, out = len(strength) - 1, 0, []
+def _page_strength(opens) -> np.ndarray:
+    return np.append(np.where(np.asarray(opens) > 0, 6, 1), 6).astype(np.int8)
+
+
+def cut_pages(strength: np.ndarray, length: int, most: int, overlap: int, least: int, start: int = 0, stop: int | None = None) -> tuple[list[tuple[int, int]], int]:
+    """Like :func:`cut`, but the overlap is exactly ``overlap`` pages: the runs that start at ``start`` and before ``stop``, and how far
+    behind ``stop`` the next one starts (-1 if there is none). ``length`` counts the pages to the end of the book."""
+    out: list[tuple[int, int]] = []
     blocks = _Blocks(strength, most + 1)
     while length - start > most:
+        if stop is not None and start >= stop:
+            return out, start - stop
         end = blocks.strongest(start + least, start + most)
         if strength[end] == 1:  # no chapter opens in the window: a full run
             end = start + most
         out.append((start, end))
         start = end - overlap
-    out.append((start, length))
-    return out
+    if stop is not None and start >= stop and length > start:
+        return out, start - stop
+    return ([*out, (start, length)] if start < length else out), -1

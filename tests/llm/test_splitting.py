@@ -69,8 +69,7 @@ def test_split_runs(spark, stride):
     got = s.split_runs(df, stride=stride).orderBy("run_no").collect()
     runs = [(r.first_page, r.last_page) for r in got]
     assert all(r.run_pages <= 60 and r.n_pages == len(numbers) for r in got)
-    if stride == 50_000:
-        assert runs == brute_runs(numbers, 60, 2)
+    assert runs == brute_runs(numbers, 60, 2) and [r.run_no for r in got] == list(range(len(got)))
     covered = [numbers[numbers.index(a) : numbers.index(z) + 1] for a, z in runs]
     assert sorted({n for c in covered for n in c}) == numbers
     assert all(len(set(a) & set(b)) == 2 for a, b in zip(covered, covered[1:]))
@@ -83,6 +82,28 @@ def test_runs_prefer_chapters(spark):
     assert [(r.first_page, r.last_page) for r in got] == [(1, 44), (43, 80)]
 
 
+def test_the_stride_changes_nothing(spark):
+    """A book that holds most of the pages, with chapters, in strides of any size."""
+    rnd = __import__("random").Random(5)
+    rows = [("big", n, "CHAPTER " + "I" * 5 if rnd.random() < 0.03 else "text") for n in range(1, 3000)] + [("small", n, "x") for n in range(1, 70)]
+    df = spark.createDataFrame(rows, "parsed_book_id string, page_number int, text string")
+    every = [sorted(tuple(r) for r in s.split_runs(df, stride=stride).collect()) for stride in (61, 100, 777, 50_000)]
+    assert every[0] == every[1] == every[2] == every[3]
+    ends = {r[5] for r in every[0] if r[0] == "big"}
+    assert len({n for _, n, t in rows if t != "text" and n - 1 in ends}) > 20
+
+
+def test_headings_are_read_whole(spark):
+    df = spark.createDataFrame([(" " * 300 + "\n\n Kapitel 4\nx",), ("THE " + "A" * 200 + "\nx",), ("plain\nCHAPTER 2",), (None,)], "t string")
+    assert [r[0] for r in df.select(s.opens_chapter(df.t)).collect()] == [True, False, False, False]
+
+
+def test_overlap_comes_close_to_what_was_asked_for():
+    text = " ".join(["word"] * 2000)
+    pieces = s.cut_text(text, 300, 40, 150)
+    assert all(30 < a_end - b for (_, a_end, _), (b, _, _) in zip(pieces, pieces[1:]))
+
+
 def test_found_matches_the_definition(spark, sf):
     from tessera.llm import queries
 
