@@ -71,11 +71,11 @@ def title_or_fallback(title: Column, first_page: Column, path: Column) -> Column
 
 
 def display_title(c: Column) -> Column:
-    """A title fit for display: no control characters, no tool prefix, ``, p. N`` spelled out."""
-    plain = F.regexp_replace(c, r"[\x00-\x1F\x7F]", "")
-    plain = F.regexp_replace(plain, r"^\s*Microsoft Word - ", "")
+    """A title fit for display: no control or replacement characters, no tool prefix, ``, p. N`` spelled out; null is ``Untitled``."""
+    plain = F.regexp_replace(c, r"[\x{fffd}\x00-\x1f]+", "")
+    plain = F.regexp_replace(plain, r"^Microsoft Word - ", "")
     plain = F.regexp_replace(plain, r", p\. (\d+)", ", PDF page $1")
-    return F.coalesce(F.nullif(F.trim(plain), F.lit("")), F.lit("Untitled"))
+    return F.coalesce(trim(plain), F.lit("Untitled"))
 
 
 def under_root(path: Column, root: str) -> Column:

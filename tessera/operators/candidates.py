@@ -41,6 +41,13 @@ def expand_selection(selection: DataFrame, results: DataFrame, rank: str = "rank
     return selection.join(keyed, ["query_id", "document"]).select("query_id", F.row_number().over(order).alias("ordinal"), "id")
 
 
+def all_chunk_ids(grouped: DataFrame) -> DataFrame:
+    """(query_id, ordinal, id): the chunks of all documents of :func:`group_by_document`, group by group."""
+    rows = grouped.select("query_id", "position", F.posexplode("chunk_ids").alias("__at", "id"))
+    order = Window.partitionBy("query_id").orderBy("position", "__at")
+    return rows.select("query_id", F.row_number().over(order).alias("ordinal"), "id")
+
+
 def unknown_selection(requested: DataFrame, available: DataFrame, key: str = "id") -> DataFrame:
     """What was requested but is not available: not empty means that the selection is refused."""
     return requested.join(available.select("query_id", key).distinct(), ["query_id", key], "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.textops import marker_number, preview, trim
+from tessera.runtime import broadcast_if_small
 
 MARKER = r"\[(\d+)\]"
 
@@ -74,23 +75,42 @@ def hits_and_misses(cited: DataFrame, chunk_map: DataFrame, key: str) -> tuple[D
     return cited.join(chunk_map, [key, "idx"]), cited.join(chunk_map.select(key, "idx").distinct(), [key, "idx"], "left_anti")
 
 
+def resolve(cited: DataFrame, chunk_map: DataFrame, key: str | None = None) -> DataFrame:
+    """(old_index, new_index, id, label, preview, source_ref, extras, ...) of the citations that the chunk map knows, metadata attached.
+
+    ``cited`` has ``old_index``, ``new_index`` and what identifies the answer; ``chunk_map`` has ``idx`` and a struct ``metadata``, one map
+    for all answers or, with ``key``, one per answer.
+    """
+    known = chunk_map.select(*([key] if key else []), F.col("idx").cast("decimal(38,0)").alias("old_index"), "metadata")
+    joined = cited.withColumn("old_index", F.col("old_index").cast("decimal(38,0)")).join(broadcast_if_small(known, 64), [*([key] if key else []), "old_index"])
+    return joined.select(*cited.columns, "metadata.*")
+
+
 def download_actions(cited: DataFrame, key: str) -> DataFrame:
-    """(key, action, source_ref, new_index): one per source in order of its first citation; chunks without a source give none."""
+    """(key, kind, label, source_ref, new_index): one per source, labelled as its first citation; citations without a source give none."""
     first = Window.partitionBy(key, "source_ref").orderBy("new_index")
     rows = cited.where(F.col("source_ref").isNotNull()).withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return rows.select(key, F.lit("download").alias("action"), "source_ref", "new_index")
+    return rows.select(key, F.lit("download").alias("kind"), "label", "source_ref", "new_index")
 
 
 def chunk_label(title: Column, page: Column, section: Column) -> Column:
-    """``title, p. N, section`` with what is missing left out."""
-    return F.concat_ws(", ", title, F.when(page.isNotNull(), F.concat(F.lit("p. "), page.cast("string"))), section)
+    """``title, p. N — section`` with what is missing left out."""
+    page_part = F.when(page.isNotNull(), F.concat(F.lit(", p. "), page.cast("string"))).otherwise(F.lit(""))
+    section_part = F.when(section.isNotNull(), F.concat(F.lit(" — "), section)).otherwise(F.lit(""))
+    return F.concat(F.coalesce(title, F.lit("")), page_part, section_part)
 
 
 def citable_chunk(title: str = "book_title", path: str = "source_file_path") -> Column:
+    """The citation metadata of a book chunk: its source is the book's file."""
     page, section = F.col("page_number"), F.col("section_title")
-    return F.struct(F.col("id").cast("string").alias("id"), chunk_label(F.col(title), page, section).alias("label"), preview(F.col("text")).alias("preview"), F.col(path).alias("source_ref"))
+    extras = F.struct(F.col(title).alias("book_title"), "page_number", "section_title", "chunk_index")
+    return F.struct(
+        F.col("id").cast("string").alias("id"), chunk_label(F.col(title), page, section).alias("label"), preview(F.col("text")).alias("preview"), F.col(path).alias("source_ref"), extras.alias("extras")
+    )
 
 
 def citable_document() -> Column:
-    label = F.concat_ws(" — ", F.col("package"), F.col("title"))
-    return F.struct(F.col("id").cast("string").alias("id"), label.alias("label"), preview(F.col("text")).alias("preview"), F.lit(None).cast("string").alias("source_ref"), F.col("url").alias("url"))
+    """The citation metadata of a document: its source is its URL."""
+    label = F.concat(F.coalesce("package", F.lit("")), F.lit(" — "), F.coalesce("title", F.lit("")))
+    extras = F.struct("package", "title", "version", "language", "source")
+    return F.struct(F.col("id").cast("string").alias("id"), label.alias("label"), preview(F.col("text")).alias("preview"), F.col("url").alias("source_ref"), extras.alias("extras"))

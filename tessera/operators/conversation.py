@@ -1,10 +1,7 @@
-"""Conversations (K1-K6): a session on the driver, and whole conversation logs as batches."""
+"""Conversations (K1-K3) over whole logs: transitions, reuse of results, histories."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,73 +41,16 @@ def reused_results(turns: DataFrame, conversation: str = "conv_id", turn: str =
     return turns.withColumn("used_results", F.first(results).over(Window.partitionBy(conversation).orderBy(turn)))
 
 
-@dataclass
-class Session:
-    """One conversation on the driver: searches once, then answers from what it found.
+def histories(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", found: str = "n_results") -> DataFrame:
+    """Adds ``history_start``, ``history_turns`` to a log of answered turns: the first turn that the history after this one still holds, and
+    how many turns it holds.
 
-    ``search`` maps a question to results (rows), ``answer`` maps (question, results, history) to a text. Events are kept in order.
+    A turn adds its question and answer to the history; where the session held no results before it (at its start, or since the turn before
+    found none) the history starts anew. ``found`` counts the results that a turn left in the session.
     """
-
-    search: Callable[[str], list]
-    answer: Callable[[str, list, list], str]
-    state: str = "idle"
-    results: list | None = None
-    history: list[tuple[str, str]] = field(default_factory=list)
-    errors: list[str] = field(default_factory=list)
-    events: list[tuple[str, object]] = field(default_factory=list)
-
-    def ask(self, question: str) -> str | None:
-        self._expect("idle", "ask")
-        self.events.append(("state_change", "generating"))
-        return self._guarded(lambda: self._respond(question, self._found(question)))
-
-    def manual_ask(self, question: str) -> list | None:
-        self._expect("idle", "manual_ask")
-
-        def candidates() -> list:
-            self.results, self._question = self.search(question), question
-            self._move("awaiting_selection")
-            self.events.append(("candidates_ready", self.results))
-            return self.results
-
-        return self._guarded(candidates)
-
-    def select(self, chosen: list) -> str | None:
-        self._expect("awaiting_selection", "select")
-        unknown = [c for c in chosen if c not in (self.results or [])]
-        if unknown:
-            raise ValueError(f"unknown selection: {unknown}")
-        self._move("generating")
-        kept = [r for r in self.results or [] if r in chosen]
-        answer = self._guarded(lambda: self._respond(self._question, kept))
-        self._move("idle")
-        return answer
-
-    def _found(self, question: str) -> list:
-        if self.results is None:
-            self.results = self.search(question)
-        return self.results
-
-    def _respond(self, question: str, results: list) -> str:
-        text = self.answer(question, results, self.history)
-        pair = (question, text)
-        # without cached results the history starts anew
-        self.history = [*self.history, pair] if self.results else [pair]
-        self.events.append(("response_ready", text))
-        return text
-
-    def _guarded(self, step: Callable):
-        try:
-            return step()
-        except Exception as error:
-            self.errors.insert(0, str(error))
-            self.events.append(("error", str(error)))
-            return None
-
-    def _move(self, state: str) -> None:
-        self.state = state
-        self.events.append(("state_change", state))
-
-    def _expect(self, state: str, command: str) -> None:
-        if self.state != state:
-            raise RuntimeError(f"{command} in state {self.state}")
+    order = Window.partitionBy(conversation).orderBy(turn)
+    anew = F.coalesce(F.lag(found).over(order), F.lit(0)) == 0
+    start = F.last(F.when(anew, F.col(turn)), ignorenulls=True).over(order)
+    placed = turns.withColumn("__n", F.row_number().over(order)).withColumn("history_start", start)
+    first = F.last(F.when(anew, F.col("__n")), ignorenulls=True).over(order)
+    return placed.withColumn("history_turns", F.col("__n") - first + 1).drop("__n")

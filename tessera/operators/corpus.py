@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.textops import char_count, word_count
 from tessera.operators.dml import first_of
 from tessera.operators.predicates import has_text
+from tessera.runtime import spread_rank
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:
     """One chunk per page with text: of a page extracted twice the latest; indexes are dense per book.
 
-    Blank pages get no index. A book's pages are ranked by a sort within its partition, which spills; no
-    book is collected.
+    Blank pages get no index. Pages are ranked in ranges of (book, page), so that no task gets the whole of a large book.
     """
     latest = first_of(pages, ["parsed_book_id", "page_number"], F.desc("extracted_at"), F.desc("page_id")).where(has_text())
-    order = Window.partitionBy("parsed_book_id").orderBy("page_number", "page_id")
-    return latest.select(
+    ranked = spread_rank(latest.select("parsed_book_id", "page_number", "page_id", "text"), "parsed_book_id", ["page_number", "page_id"], "rank")
+    return ranked.select(
         F.col("page_id").alias("id"),
         "parsed_book_id",
         "page_number",
-        (F.row_number().over(order) - 1).cast("int").alias("chunk_index"),
+        F.col("rank").cast("int").alias("chunk_index"),
         F.lit(None).cast("string").alias("section_title"),
         "text",
         word_count(F.col("text")).alias("word_count"),
@@ -32,8 +32,8 @@ def page_chunks(pages: DataFrame) -> DataFrame:
 
 def vector_chunks(embeddings: DataFrame) -> DataFrame:
     """The vectors as chunks of one book per label, in the order of their ids."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    return embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("parsed_book_id"), (F.row_number().over(order) - 1).cast("int").alias("chunk_index"), "embedding")
+    ranked = spread_rank(embeddings.select("vec_id", "label", "embedding"), "label", ["vec_id"], "rank")
+    return ranked.select(F.col("vec_id").alias("id"), F.col("label").alias("parsed_book_id"), F.col("rank").cast("int").alias("chunk_index"), "embedding")
 
 
 def book_totals(pages: DataFrame) -> DataFrame:

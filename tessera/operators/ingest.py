@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import stage
+from tessera.operators.corpus import page_chunks
+from tessera.operators.dml import first_of
+from tessera.runtime import spread_join, stage
 
 # What a retry of each failed step works on. Steps of the raw documents have no retry.
 RETRIES = {
@@ -52,10 +55,31 @@ def embed_input(title: Column, text: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(text, F.lit("")))
 
 
-def raw_attributes(path: Column, version: Column) -> dict[str, Column]:
-    """module, url of a source file: the file's name without its ending, and its place in the documentation."""
-    module = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    return {"module": module, "version": version, "url": F.concat(F.lit("https://docs.example/"), version, F.lit("/"), module, F.lit(".html"))}
+def raw_attributes(path: Column, version: Column, content: Column, base: str = "https://docs.example/") -> dict[str, Column]:
+    """module, version, url and content of a source file: its name without ``.html`` is the module, its name under ``base`` the URL."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return {"module": F.replace(name, F.lit(".html"), F.lit("")), "version": version, "url": F.concat(F.lit(base), name), "content": content}
+
+
+def retry_from_raw(failures: DataFrame, raw: DataFrame) -> DataFrame:
+    """(id, module, version, found) of failures that name their raw document as ``module@...``: how many raw documents of that module
+    and of the failure's version there are (0: not found)."""
+    asked = failures.select("id", F.substring_index("input_identifier", "@", 1).alias("module"), "version")
+    held = raw.groupBy("module", "version").agg(F.count(F.lit(1)).alias("found"))
+    return spread_join(asked, held, ["module", "version"], "left", row_bytes=48).select("id", "module", "version", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def retry_from_chunk(failures: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, chunk, found) of failures that name a chunk by its id."""
+    held = chunks.select(F.col("id").cast("string").alias("chunk"), F.lit(True).alias("found")).distinct()
+    asked = failures.select("id", F.col("input_identifier").alias("chunk"))
+    return asked.join(held, "chunk", "left").select("id", "chunk", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def failures_between(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per pipeline and version how many failures came to be between two states of the table (what one run added)."""
+    added = after.join(before.select("id").distinct(), "id", "left_anti")
+    return failure_counts(added)
 
 
 def retry_target(step: Column) -> Column:
@@ -116,3 +140,32 @@ def densify(chunks: DataFrame, by: str = "parsed_book_id", order: tuple[str, ...
 def error_info(error: Column, identifier: Column) -> Column:
     """(identifier, text): of an error that names its item, or of a bare one."""
     return F.struct(identifier.cast("string").alias("input_identifier"), F.coalesce(error, F.lit("unknown error")).alias("error_text"))
+
+
+@dataclass(frozen=True)
+class BookRun:
+    """What a run over books gave (I6): the books kept, their chunks with vectors, failures, and warnings of skipped pages."""
+
+    kept: DataFrame
+    chunks: DataFrame
+    failures: DataFrame
+    warnings: DataFrame
+
+    def report(self) -> DataFrame:
+        """(id, n_chunks, warning, failed, outcome) of every book kept."""
+        counts = self.chunks.where(F.col("embedding").isNotNull()).groupBy(F.col("parsed_book_id").alias("id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+        failed = self.failures.select(F.col("input_identifier").alias("id"), F.lit(True).alias("failed"))
+        rows = self.kept.select("id").join(counts, "id", "left").join(self.warnings.withColumnRenamed("parsed_book_id", "id"), "id", "left").join(failed, "id", "left")
+        n, bad = F.coalesce("n_chunks", F.lit(0)), F.coalesce("failed", F.lit(False))
+        return rows.select("id", n.alias("n_chunks"), "warning", bad.alias("failed"), summary(n, bad.cast("int")).alias("outcome"))
+
+
+def book_run(books: DataFrame, pages: DataFrame, skipped: DataFrame, embed: Callable[[Column], Column]) -> BookRun:
+    """Load, drop known files, cut into chunks, embed, and collect what failed; every step is a table, and the first failure of a book is its only one."""
+    kept = first_of(books, "file_hash", F.col("inserted_at"), F.col("id"))
+    titles = kept.select(F.col("id").alias("parsed_book_id"), F.col("title").alias("book_title"))
+    cut = spread_join(page_chunks(pages), titles, "parsed_book_id", row_bytes=48)
+    chunks = stage(cut.withColumn("embedding", embed(embed_input(F.col("book_title"), F.col("text")))), "chunks")
+    some = chunks.select(F.col("parsed_book_id").alias("id")).distinct().withColumn("ok", F.lit(True))
+    results = kept.select("id").join(some, "id", "left").select(F.col("id").alias("identifier"), F.coalesce("ok", F.lit(False)).alias("ok"), F.lit("no page has text").alias("error"))
+    return BookRun(kept, chunks, dead_letters(results, "Books.Pipeline", "PDF", "", "books.parse"), skipped_warning(skipped))

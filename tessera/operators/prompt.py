@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,24 @@ WITH_CONTEXT = (
 WITHOUT_CONTEXT = "No excerpt was found for this question. Say so, and do not cite anything."
 
 
+# The layouts in which chunks and documents are shown to a model.
+CHUNK_LAYOUT = "Book: {title} | Page: {page}\nSection: {section}\n\n{text}"
+DOCUMENT_LAYOUT = "Package: {package} | Function: {title}\nURL: {url}\n\n{text}"
+
+
+def laid_out(layout: str, **values: Column) -> Column:
+    """A layout with its ``{names}`` filled in; null prints empty."""
+    parts = re.split(r"\{(\w+)\}", layout)
+    return F.concat(*[F.coalesce(values[p].cast("string"), F.lit("")) if n % 2 else F.lit(p) for n, p in enumerate(parts) if p])
+
+
 def chunk_context(title: Column, page: Column, section: Column, text: Column) -> Column:
     """A book chunk as prompt text; a missing page prints empty, a missing section as ``(none)``."""
-    shown = lambda c, none: F.coalesce(c.cast("string"), F.lit(none))
-    return F.concat(F.lit("Book: "), shown(title, ""), F.lit("\nPage: "), shown(page, ""), F.lit("\nSection: "), shown(section, "(none)"), F.lit("\n\n"), shown(text, ""))
+    return laid_out(CHUNK_LAYOUT, title=title, page=page, section=F.coalesce(section, F.lit("(none)")), text=text)
 
 
 def document_context(package: Column, title: Column, url: Column, text: Column) -> Column:
-    shown = lambda c: F.coalesce(c, F.lit(""))
-    return F.concat(F.lit("Package: "), shown(package), F.lit("\nTitle: "), shown(title), F.lit("\nURL: "), shown(url), F.lit("\n\n"), shown(text))
+    return laid_out(DOCUMENT_LAYOUT, package=package, title=title, url=url, text=text)
 
 
 def numbered(index: Column, context: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import expand as expansion
 from tessera.operators import lexical, rank, vector
+from tessera.functions.textops import preview
 from tessera.operators.predicates import reaches
-from tessera.runtime import broadcast_if_small
+from tessera.runtime import broadcast_if_small, stage
 from tessera.spec import DEFAULTS, CorpusSpec, RetrievalQuery
 
 
@@ -25,8 +26,9 @@ def dense(units: DataFrame, queries: DataFrame, k: int = DEFAULTS.k, size: int =
 def hybrid(units: DataFrame, queries: DataFrame, fields: dict[str, float], k: int = DEFAULTS.k, size: int = DEFAULTS.size, keyword_weight: float = DEFAULTS.keyword_weight) -> DataFrame:
     """The k nearest units, re-scored by their text: a text match adds to the score, never a row."""
     near = vector.knn(units, queries, k).select("query_id", "id", "backend_score")
+    near = stage(near, "nearest")
     # only the candidates' texts are scored, but against the statistics of the whole corpus
-    text = lexical.match(units, queries, fields, keyword_weight)
+    text = lexical.match(units, queries, fields, keyword_weight, among=near.select("query_id", "id"))
     both = near.join(text, ["query_id", "id"], "left").select("query_id", "id", F.round(F.col("backend_score") + F.coalesce("score", F.lit(0.0)), 6).alias("score"))
     return lexical.top(both, size)
 
@@ -82,12 +84,18 @@ def hydrate(hits: DataFrame, units: DataFrame, order: str = "rank") -> DataFrame
     return broadcast_if_small(hits, 256).join(units, "id").withColumnRenamed(order, "hit_rank")
 
 
-def with_context(chunks: DataFrame, hits: DataFrame, offset: int = DEFAULTS.neighbor_offset) -> DataFrame:
-    """Hits and their neighbours per query, tagged ``search`` or ``expansion``; expansions have no backend score."""
-    placed = hits.join(chunks.select("id", "parsed_book_id", "chunk_index"), "id")
-    expanded = expansion.expand(placed, chunks, offset, ("query_id", "parsed_book_id"))
+def with_context(chunks: DataFrame, hits: DataFrame, offset: int = DEFAULTS.neighbor_offset, spec: CorpusSpec | None = None) -> DataFrame:
+    """Hits and their neighbours per query, tagged ``search`` or ``expansion``; expansions have no backend score.
+
+    A corpus whose ``spec`` says that its units have no order is not expanded: the hits come out as they are.
+    """
     scores = hits.groupBy("query_id", "id").agg(F.max("backend_score").alias("backend_score"), F.lit("search").alias("hit_source"))
-    tagged = expanded.join(broadcast_if_small(scores, 128), ["query_id", "id"], "left")
+    if spec is not None and spec.expand is None:
+        return broadcast_if_small(scores, 64).join(chunks, "id")
+    placed = hits.join(chunks.select("id", "parsed_book_id", "chunk_index"), "id")
+    expand = spec.expand if spec is not None else expansion.expand
+    expanded = expand(placed, chunks, offset, ("query_id", "parsed_book_id"))
+    tagged = expanded.join(broadcast_if_small(scores, 64), ["query_id", "id"], "left")
     return tagged.withColumn("hit_source", F.coalesce("hit_source", F.lit("expansion")))
 
 
@@ -98,9 +106,18 @@ def ranked_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULTS.k, of
     return rank.prepare_context(results, DEFAULTS.max_context_chunks, DEFAULTS.relevance_floor)
 
 
-def page_groups(results: DataFrame) -> DataFrame:
-    """Per query and book: hits (expansions count) and its distinct pages in order, the first result of each page."""
-    first = Window.partitionBy("query_id", "parsed_book_id", "page_number").orderBy("id")
+def page_groups(results: DataFrame, rank: str = "rank") -> DataFrame:
+    """(query_id, parsed_book_id, book_title, source_file_path, total_pages, hit_count, position, pages): the books of a query by their hits
+    (expansions count), each with its distinct pages in order: number, section and the start of the first result's text.
+
+    A query's results are few: its size bounds them.
+    """
+    first = Window.partitionBy("query_id", "parsed_book_id", "page_number").orderBy(rank, "id")
     ranked = results.withColumn("__first", F.row_number().over(first) == 1)
-    page = F.when(F.col("__first"), F.struct(F.col("page_number").isNull().alias("last"), "page_number", "id"))
-    return ranked.groupBy("query_id", "parsed_book_id").agg(F.count(F.lit(1)).alias("hit_count"), F.transform(F.array_sort(F.collect_list(page)), lambda p: p["page_number"]).alias("pages"))
+    page = F.when(F.col("__first"), F.struct(F.col("page_number").isNull().alias("last"), "page_number", "section_title", preview(F.col("text")).alias("chunk_preview")))
+    whole = ["book_title", "source_file_path", "total_pages"]
+    grouped = ranked.groupBy("query_id", "parsed_book_id").agg(
+        *[F.first(c).alias(c) for c in whole], F.count(F.lit(1)).alias("hit_count"), F.transform(F.array_sort(F.collect_list(page)), lambda p: p.dropFields("last")).alias("pages")
+    )
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hit_count"), "parsed_book_id"))
+    return grouped.select("query_id", "parsed_book_id", *whole, "hit_count", position.alias("position"), "pages")

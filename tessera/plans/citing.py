@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import citations, conversation, prompt
 from tessera.plans.library import CHUNKS_SQL, chunks, documents
 from tessera.plans.register import query
+from tessera.runtime import spread_join
 from tessera.sources.tables import table
 
 
@@ -58,40 +59,81 @@ def citation_hallucinated(spark, sf_dir):
     return rows.select("doc_id", F.array_join("warnings", "|").alias("warnings"))
 
 
+#: The context that all answers are taken to have had: the six first chunks of ``corelib``, numbered from 1, the fourth without a URL.
+_MAP_SQL = """
+    context AS (SELECT CAST(n AS DECIMAL(38,0)) AS idx, id, package || ' — ' || coalesce(title, '') AS label, left(text, 200) AS preview, CASE WHEN n <> 4 THEN url END AS source_ref, version, language
+        FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM parsed_documents WHERE package = 'corelib') WHERE n <= 6),
+    cited AS (SELECT doc_id, every, unnest(every) AS old FROM marked),
+    resolved AS (SELECT doc_id, CAST(old AS BIGINT) AS old_index, CAST(list_position(every, old) AS INTEGER) AS new_index, context.* EXCLUDE (idx) FROM cited JOIN context ON idx = old)
+"""
+
+
+def _chunk_map(spark, sf_dir):
+    """(idx, metadata) of the six first documents of one package."""
+    six = documents(spark, sf_dir, "id", "package", "title", "text", "url", "version", "language", "source").where("package = 'corelib'").orderBy("id").limit(6)
+    numbered = six.withColumn("idx", F.expr("row_number() over (order by id)"))
+    return numbered.withColumn("url", F.when(F.col("idx") != 4, F.col("url"))).select("idx", citations.citable_document().alias("metadata"))
+
+
+def _resolved(spark, sf_dir):
+    rows = _texts(spark, sf_dir).select("doc_id", F.explode(citations.renumbered(F.col("text"), F.col("valid"))).alias("c")).select("doc_id", "c.*")
+    return citations.resolve(rows, _chunk_map(spark, sf_dir))
+
+
+@query(f"WITH {_MARKERS_SQL}, {_MAP_SQL} SELECT doc_id, old_index, new_index, id, label, preview, source_ref, version, language FROM resolved")
+def citation_resolve(spark, sf_dir):
+    """Every citation with the metadata of what it cites."""
+    rows = _resolved(spark, sf_dir)
+    return rows.select("doc_id", F.col("old_index").cast("bigint").alias("old_index"), "new_index", "id", "label", "preview", "source_ref", "extras.version", "extras.language")
+
+
 @query(
-    f"""WITH {_MARKERS_SQL}, e AS (SELECT doc_id, every, unnest(every) AS idx FROM marked), refs AS (SELECT doc_id, list_position(every, idx) AS new_index, CASE WHEN idx <> 4 THEN 'file_' || CAST(CAST(idx AS BIGINT) % 3 AS VARCHAR) END AS source_ref FROM e WHERE idx BETWEEN 1 AND 6)
-    SELECT doc_id, 'download' AS action, source_ref, CAST(min(new_index) AS INTEGER) AS new_index FROM refs WHERE source_ref IS NOT NULL GROUP BY doc_id, source_ref"""
+    f"""WITH {_MARKERS_SQL}, {_MAP_SQL} SELECT doc_id, 'download' AS kind, arg_min(label, new_index) AS label, source_ref, min(new_index) AS new_index FROM resolved WHERE source_ref IS NOT NULL GROUP BY doc_id, source_ref"""
 )
 def citation_actions(spark, sf_dir):
-    """Chunks 1 to 6 lie in three files, chunk 4 in none."""
-    rows = _texts(spark, sf_dir).select("doc_id", F.explode(citations.renumbered(F.col("text"), F.col("valid"))).alias("c"))
-    idx = F.col("c.old_index").cast("bigint")
-    cited = rows.select("doc_id", F.col("c.new_index").alias("new_index"), F.when(idx != 4, F.concat(F.lit("file_"), (idx % 3).cast("string"))).alias("source_ref"))
-    return citations.download_actions(cited, "doc_id")
+    return citations.download_actions(_resolved(spark, sf_dir), "doc_id")
 
 
-@query("SELECT id, concat_ws(' — ', package, title) AS label, left(text, 200) AS preview FROM parsed_documents")
+@query(
+    """SELECT id, coalesce(package, '') || ' — ' || coalesce(title, '') AS label, left(text, 200) AS preview, url AS source_ref, package AS x_package, title AS x_title, version AS x_version, language AS x_language, source AS x_source FROM parsed_documents"""
+)
 def citable_documents(spark, sf_dir):
-    rows = documents(spark, sf_dir, "id", "package", "title", "text", "url").select(citations.citable_document().alias("c"))
-    return rows.select("c.id", "c.label", "c.preview")
+    rows = documents(spark, sf_dir, "id", "package", "title", "text", "url", "version", "language", "source").select(citations.citable_document().alias("c"))
+    return rows.select("c.id", "c.label", "c.preview", "c.source_ref", *[F.col(f"c.extras.{x}").alias(f"x_{x}") for x in ("package", "title", "version", "language", "source")])
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT CAST(c.id AS VARCHAR) AS id, concat_ws(', ', b.title, 'p. ' || c.page_number) AS label, left(c.text, 200) AS preview, b.source_file_path AS source_ref FROM chunks c JOIN parsed_books b ON b.id = c.parsed_book_id")
-def citable_chunks(spark, sf_dir):
+#: The data has no sections: every third page is given one, and every fifth loses its number, so that all forms of a label occur.
+_SECTIONED_SQL = "CASE WHEN c.id % 5 <> 0 THEN c.page_number END AS page, CASE WHEN c.id % 3 = 0 THEN 'Part ' || (c.id % 7) END AS section"
+
+
+def _sectioned(spark, sf_dir):
     books = table(spark, sf_dir, "parsed_books", "id", "title", "source_file_path").withColumnsRenamed({"id": "parsed_book_id", "title": "book_title"})
-    rows = chunks(spark, sf_dir).join(books, "parsed_book_id").select(citations.citable_chunk().alias("c"))
-    return rows.select("c.id", "c.label", "c.preview", "c.source_ref")
+    rows = spread_join(chunks(spark, sf_dir), books, "parsed_book_id", row_bytes=64)
+    section = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Part "), F.col("id") % 7))
+    return rows.withColumn("page_number", F.when(F.col("id") % 5 != 0, F.col("page_number"))).withColumn("section_title", section)
+
+
+@query(
+    f"""WITH {CHUNKS_SQL}, s AS (SELECT c.*, {_SECTIONED_SQL}, b.title, b.source_file_path FROM chunks c JOIN parsed_books b ON b.id = c.parsed_book_id)
+    SELECT CAST(id AS VARCHAR) AS id, coalesce(title, '') || coalesce(', p. ' || page, '') || coalesce(' — ' || section, '') AS label, left(text, 200) AS preview, source_file_path AS source_ref,
+      title AS x_book_title, CAST(page AS VARCHAR) AS x_page_number, section AS x_section_title, chunk_index AS x_chunk_index FROM s"""
+)
+def citable_chunks(spark, sf_dir):
+    rows = _sectioned(spark, sf_dir).select(citations.citable_chunk().alias("c"))
+    return rows.select("c.id", "c.label", "c.preview", "c.source_ref", *[F.col(f"c.extras.{x}").alias(f"x_{x}") for x in ("book_title", "section_title", "chunk_index")], F.col("c.extras.page_number").cast("string").alias("x_page_number"))
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT c.id, 'Book: ' || coalesce(b.title, '') || chr(10) || 'Page: ' || coalesce(CAST(c.page_number AS VARCHAR), '') || chr(10) || 'Section: (none)' || chr(10) || chr(10) || c.text AS prompt_text FROM chunks c JOIN parsed_books b ON b.id = c.parsed_book_id")
+@query(
+    f"""WITH {CHUNKS_SQL}, s AS (SELECT c.*, {_SECTIONED_SQL}, b.title FROM chunks c JOIN parsed_books b ON b.id = c.parsed_book_id)
+    SELECT id, 'Book: ' || coalesce(title, '') || ' | Page: ' || coalesce(CAST(page AS VARCHAR), '') || chr(10) || 'Section: ' || coalesce(section, '(none)') || chr(10) || chr(10) || text AS prompt_text FROM s"""
+)
 def prompt_context_chunk(spark, sf_dir):
-    books = table(spark, sf_dir, "parsed_books", "id", "title").withColumnsRenamed({"id": "parsed_book_id", "title": "book_title"})
-    rows = chunks(spark, sf_dir).join(books, "parsed_book_id")
+    rows = _sectioned(spark, sf_dir)
     return rows.select("id", prompt.chunk_context(F.col("book_title"), F.col("page_number"), F.col("section_title"), F.col("text")).alias("prompt_text"))
 
 
 @query(
-    """SELECT package, version, string_agg('[' || n || '] ' || 'Package: ' || package || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'URL: ' || coalesce(url, '') || chr(10) || chr(10) || coalesce(text, ''), chr(10) || '---' || chr(10) ORDER BY n) AS block
+    """SELECT package, version, string_agg('[' || n || '] ' || 'Package: ' || package || ' | Function: ' || coalesce(title, '') || chr(10) || 'URL: ' || coalesce(url, '') || chr(10) || chr(10) || coalesce(text, ''), chr(10) || '---' || chr(10) ORDER BY n) AS block
     FROM (SELECT *, row_number() OVER (PARTITION BY package, version ORDER BY id) AS n FROM parsed_documents) WHERE n <= 10 GROUP BY package, version"""
 )
 def context_block(spark, sf_dir):
@@ -147,3 +189,14 @@ def session_fsm_transitions(spark, sf_dir):
 @query(f"WITH {_TURNS_SQL} SELECT conv_id, turn, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS used_results FROM turns")
 def reused_results(spark, sf_dir):
     return conversation.reused_results(_turns(spark, sf_dir), results="text").select("conv_id", "turn", "used_results")
+
+
+@query(
+    f"""WITH {_TURNS_SQL}, f AS (SELECT conv_id, turn, CASE WHEN text = 'error' THEN 0 ELSE 1 END AS n_results FROM turns),
+    r AS (SELECT *, coalesce(lag(n_results) OVER w, 0) = 0 AS anew FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, last_value(CASE WHEN anew THEN turn END IGNORE NULLS) OVER w AS history_start, turn - last_value(CASE WHEN anew THEN turn END IGNORE NULLS) OVER w + 1 AS history_turns FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
+)
+def history_with_reset(spark, sf_dir):
+    """A turn that ends in an error leaves the session without results, so the history starts anew behind it."""
+    turns = _turns(spark, sf_dir).select("conv_id", "turn", F.when(F.col("text") == "error", 0).otherwise(1).alias("n_results"))
+    return conversation.histories(turns).select("conv_id", "turn", "history_start", "history_turns")

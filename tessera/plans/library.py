@@ -35,14 +35,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "parsed_documents", *columns)
 
 
-@query("SELECT id, source, version, title FROM parsed_documents WHERE source = 'hexdocs' AND version = '1.6.5'")
+@query("SELECT id, source, version, title FROM parsed_documents WHERE source = 'hexdocs' AND version = '3.6.9'")
 def docs_by_source_and_version(spark, sf_dir):
-    return predicates.source_and_version(documents(spark, sf_dir, "id", "source", "version", "title"), "hexdocs", "1.6.5")
+    return predicates.source_and_version(documents(spark, sf_dir, "id", "source", "version", "title"), "hexdocs", "3.6.9")
 
 
-@query("SELECT id, language, version, package FROM parsed_documents WHERE language = 'elixir' AND version = '1.2.0'")
+@query("SELECT id, language, version, package FROM parsed_documents WHERE language = 'elixir' AND version = '3.6.9'")
 def docs_by_language_and_version(spark, sf_dir):
-    return predicates.language_and_version(documents(spark, sf_dir, "id", "language", "version", "package"), "elixir", "1.2.0")
+    return predicates.language_and_version(documents(spark, sf_dir, "id", "language", "version", "package"), "elixir", "3.6.9")
 
 
 @query(
@@ -91,8 +91,8 @@ def books_by_path(spark, sf_dir):
 
 
 @query(
-    """SELECT id, CASE WHEN t = '' OR t IS NULL THEN 'Untitled' ELSE t END AS display_title FROM (
-    SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(title, '[\\x00-\\x1F\\x7F]', '', 'g'), '^\\s*Microsoft Word - ', ''), ', p\\. (\\d+)', ', PDF page \\1', 'g'), ' ') AS t FROM parsed_books)"""
+    """SELECT id, coalesce(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '[\\x{FFFD}\\x00-\\x1F]+', '', 'g'), '^Microsoft Word - ', ''), ', p\\. (\\d+)', ', PDF page \\1', 'g'),
+    '^[\\s\\v\\x{85}\\p{Z}]+|[\\s\\v\\x{85}\\p{Z}]+$', '', 'g'), 'Untitled') AS display_title FROM parsed_books"""
 )
 def display_titles(spark, sf_dir):
     return books(spark, sf_dir).select("id", textops.display_title(F.col("title")).alias("display_title"))
@@ -179,3 +179,14 @@ def book_fields(spark, sf_dir):
     rows = books(spark, sf_dir)
     title = textops.title_or_fallback(F.col("title"), F.lit(None).cast("string"), F.col("source_file_path"))
     return rows.select("id", title.alias("title"), textops.file_hash(F.col("source_file_path")).alias("path_hash"), F.coalesce(textops.leading_int(F.col("isbn")), F.lit(-1)).alias("isbn_prefix"))
+
+
+@query(
+    """SELECT id, md5(concat_ws('|', id, source, version, package, language, title, url, text, CAST(core AS VARCHAR), CAST(len(embedding) AS VARCHAR))) AS fields_hash FROM parsed_documents"""
+)
+def document_json(spark, sf_dir):
+    """Every document written as JSON and read back with the declared schema."""
+    rows = documents(spark, sf_dir)
+    back = rows.select(F.from_json(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), schemas.PARSED_DOCUMENTS).alias("d")).select("d.*")
+    fields = ["id", "source", "version", "package", "language", "title", "url", "text", F.col("core").cast("string"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("string")]
+    return back.select("id", F.md5(F.concat_ws("|", *fields)).alias("fields_hash"))

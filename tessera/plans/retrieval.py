@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine
-from tessera.operators import candidates, corpus, expand, lexical, rank, search, vector
+from tessera.operators import candidates, corpus, expand, index, lexical, rank, search, vector
 from tessera.plans.library import CHUNKS_SQL, chunks, documents
 from tessera.plans.register import query
+from tessera.runtime import shared_dir, spread_join
 from tessera.sources.tables import spread_table, table
 from tessera.spec import CorpusSpec
 
 DOCS = CorpusSpec("docs", {"title": 3.0, "text": 1.0})
-BOOKS = CorpusSpec("chunks_of_books", {"section_title": 2.0, "text": 1.0})
+BOOKS = CorpusSpec("chunks_of_books", {"section_title": 2.0, "text": 1.0}, expand=expand.expand)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +81,8 @@ def cosine_pairs(spark, sf_dir):
 
 
 def _expanded(spark, sf_dir):
-    return search.with_context(_vectors(spark, sf_dir), vector.knn(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir)))
+    units = _vectors(spark, sf_dir)
+    return search.with_context(units, vector.knn(units, _vector_queries(spark, sf_dir)), spec=BOOKS)
 
 
 @query(f"WITH {_KNN_SQL}, {_EXPAND_SQL} SELECT query_id, id, parsed_book_id, chunk_index, hit_source FROM fused")
@@ -145,11 +149,21 @@ def bm25_topk(spark, sf_dir):
     return search.keyword(spread_table(spark, sf_dir, "parsed_documents", "id", "title", "text"), _text_queries(spark, sf_dir), DOCS.fields).select("query_id", "id", "score", "rank")
 
 
-@query("SELECT b.title AS query_id, a.id, 3.0::DOUBLE AS score FROM parsed_documents a JOIN (SELECT DISTINCT title FROM parsed_documents WHERE package = 'corelib' AND title IS NOT NULL) b ON a.title = b.title")
+@query(
+    f"WITH {_BM25_SQL} SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25) WHERE rank <= 30"
+)
+def indexed_bm25_topk(spark, sf_dir):
+    """The same ranking from an index that is derived from the schema, written, and read by its terms."""
+    docs = spread_table(spark, sf_dir, "parsed_documents", "id", "title", "text", "source", "embedding")
+    made = index.build(docs, f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}")
+    return lexical.top(lexical.bm25(made.units(spark), _text_queries(spark, sf_dir), index=made.postings(spark)), 30)
+
+
+@query("SELECT title AS query_id, id, 3.0::DOUBLE AS score FROM parsed_documents WHERE title IS NOT NULL")
 def title_exact_boost(spark, sf_dir):
-    """Titles are keywords: the titles of one package, asked against all titles."""
-    docs = documents(spark, sf_dir, "id", "title", "package")
-    titles = docs.where("package = 'corelib' and title is not null").select(F.col("title").alias("query_id"), F.col("title").alias("text")).distinct()
+    """Titles are keywords: all distinct titles, asked against all documents."""
+    docs = documents(spark, sf_dir, "id", "title")
+    titles = docs.where("title is not null").select(F.col("title").alias("query_id"), F.col("title").alias("text")).distinct()
     return lexical.title_boost(docs, titles, 3.0)
 
 
@@ -189,7 +203,9 @@ def _results(spark, sf_dir):
     rows = search.hydrate(_hits(spark, sf_dir), pages).withColumnRenamed("hit_rank", "rank")
     source = F.when(F.col("id") % 7 != 0, F.col("parsed_book_id"))
     page = F.when(F.col("id") % 5 != 0, F.col("page_number"))
-    return rows.select("query_id", "id", "rank", "text", "parsed_book_id", page.alias("page_number"), source.alias("source_ref"), F.lit(None).cast("string").alias("book_title"), F.concat(F.lit("page "), "id").alias("label"))
+    return rows.select(
+        "query_id", "id", "rank", "text", "parsed_book_id", page.alias("page_number"), source.alias("source_ref"), F.lit(None).cast("string").alias("book_title"), F.lit(None).cast("string").alias("section_title"), F.concat(F.lit("page "), "id").alias("label")
+    )
 
 
 _RESULTS_SQL = f"""{CHUNKS_SQL}, {_HITS_SQL}, results AS (SELECT h.query_id, c.id, h.rank, c.text, c.parsed_book_id, CASE WHEN c.id % 5 <> 0 THEN c.page_number END AS page_number,
@@ -237,11 +253,39 @@ def manual_selection(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_RESULTS_SQL} SELECT query_id, parsed_book_id, count(*) AS hit_count, array_to_string(list(DISTINCT coalesce(page_number, 2147483647) ORDER BY coalesce(page_number, 2147483647)), ',') AS pages FROM results GROUP BY query_id, parsed_book_id"""
+    f"""WITH {_RESULTS_SQL}, g AS (SELECT query_id, document, min(rank) AS first_rank FROM results GROUP BY query_id, document), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank, document) AS position FROM g)
+    SELECT r.query_id, row_number() OVER (PARTITION BY r.query_id ORDER BY position, r.rank, r.id) AS ordinal, r.id FROM results r JOIN p ON p.query_id = r.query_id AND p.document = r.document"""
+)
+def all_chunk_ids(spark, sf_dir):
+    return candidates.all_chunk_ids(candidates.group_by_document(_results(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_RESULTS_SQL}, firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, parsed_book_id, page_number ORDER BY rank, id) AS nth FROM results),
+    grouped AS (SELECT query_id, parsed_book_id, count(*) AS hit_count,
+        array_to_string(list(coalesce(CAST(page_number AS VARCHAR), '-') || ':' || left(text, 200) ORDER BY page_number NULLS LAST) FILTER (WHERE nth = 1), '|') AS pages FROM firsts GROUP BY query_id, parsed_book_id)
+    SELECT query_id, b.title AS book_title, b.source_file_path, CAST(b.total_pages AS VARCHAR) AS total_pages, hit_count, row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, parsed_book_id) AS position, md5(pages) AS pages_hash
+    FROM grouped JOIN parsed_books b ON b.id = parsed_book_id"""
 )
 def search_page_groups(spark, sf_dir):
-    grouped = search.page_groups(_results(spark, sf_dir))
-    return grouped.withColumn("pages", F.array_join(F.transform("pages", lambda p: F.coalesce(p, F.lit(2147483647)).cast("string")), ","))
+    """The books of a search by their hits, with title, path, length, and the pages that were hit with their first 200 characters."""
+    of = table(spark, sf_dir, "parsed_books", "id", "title", "source_file_path", "total_pages").withColumnsRenamed({"id": "parsed_book_id", "title": "book_title"})
+    results = spread_join(_results(spark, sf_dir).drop("book_title"), of, "parsed_book_id", row_bytes=64)
+    shown = F.transform("pages", lambda p: F.concat(F.coalesce(p["page_number"].cast("string"), F.lit("-")), F.lit(":"), p["chunk_preview"]))
+    return search.page_groups(results).select("query_id", "book_title", "source_file_path", F.col("total_pages").cast("string").alias("total_pages"), "hit_count", "position", F.md5(F.array_join(shown, "|")).alias("pages_hash"))
+
+
+@query(
+    """WITH units AS (SELECT id, package, CAST(embedding AS DOUBLE[64]) AS v FROM parsed_documents WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x)))),
+    asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[64]) AS q FROM embeddings WHERE vec_id % 20 = 0)
+    SELECT query_id, id, package, backend_score, 'search' AS hit_source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY backend_score DESC, id) AS rank FROM (
+        SELECT query_id, id, package, CASE WHEN isnan(array_cosine_similarity(q, v)) THEN 0.5 ELSE round((1 + array_cosine_similarity(q, v)) / 2, 6) END AS backend_score FROM asked, units)) WHERE rank <= 30"""
+)
+def search_without_order(spark, sf_dir):
+    """Documents have no order: a search with context gives the hits as they are."""
+    docs = documents(spark, sf_dir, "id", "package", "embedding")
+    hits = vector.knn(docs, _vector_queries(spark, sf_dir))
+    return search.with_context(docs, hits, spec=DOCS).select("query_id", "id", "package", "backend_score", "hit_source")
 
 
 @query(f"WITH {_KNN_SQL}, {_EXPAND_SQL}, {_CONTEXT_SQL} SELECT a.query_id, CASE WHEN count(c.id) > 0 THEN 'good' ELSE 'none' END AS quality FROM asked a LEFT JOIN context c USING (query_id) GROUP BY a.query_id")

@@ -1,23 +1,21 @@
-"""Providers of embeddings and answers (S14, S15, A14): protocols, local stand-ins, response normalisation."""
+"""Providers of embeddings and answers (S14, S15, A14): the protocol of an embedder, a local stand-in, response normalisation."""
 
 from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.textops import terms
+from tessera.functions.textops import leading_int, terms
 
 
 class Embedder(Protocol):
     def embed(self, text: Column) -> Column: ...
 
 
-class Generator(Protocol):
-    def answer(self, question: str, excerpts: list[str]) -> str: ...
-
-
 class HashedEmbedder:
     """A deterministic embedder for tests and offline runs: signed counts of hashed terms, unit length."""
 
@@ -25,35 +23,57 @@ class HashedEmbedder:
         self.size = size
 
     def embed(self, text: Column) -> Column:
-        words = F.transform(terms(text), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(self.size)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda i: F.aggregate(F.filter(words, lambda w: w["at"] == i), F.lit(0.0), lambda s, w: s + w["sign"]))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-        return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)).cast("float"))
+        size = self.size
 
+        @F.pandas_udf("array<float>")
+        def counted(places: pd.Series) -> pd.Series:
+            out = []
+            for p in places:
+                at = np.asarray(p, np.int64)
+                counts = np.bincount(at >> 1, weights=np.where(at & 1, -1.0, 1.0), minlength=size)
+                norm = np.linalg.norm(counts)
+                out.append((counts / norm if norm else counts).astype(np.float32))
+            return pd.Series(out)
 
-class ExtractiveGenerator:
-    """A deterministic generator: the first sentence of each excerpt with its marker."""
-
-    def answer(self, question: str, excerpts: list[str]) -> str:
-        if not excerpts:
-            return "No excerpt answers this question."
-        return " ".join(f"{e.strip().split('. ')[0].rstrip('.')} [{n}]." for n, e in enumerate(excerpts, 1))
+        # a term's place, and its sign in the last bit
+        return counted(F.transform(terms(text), lambda t: (2 * F.pmod(F.xxhash64(t), F.lit(size)) + F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2))).cast("int")))
 
 
 def usage(body: Column) -> Column:
-    """(input, output, total) tokens of a response in any of its three shapes; a shape counts only if complete."""
-    at = lambda key: F.get_json_object(body, f"$.{key}").try_cast("bigint")
-    shape = lambda i, o, t: F.when(at(i).isNotNull() & at(o).isNotNull() & at(t).isNotNull(), F.struct(at(i).alias("input"), at(o).alias("output"), at(t).alias("total")))
-    return F.coalesce(
-        shape("usage.input_tokens", "usage.output_tokens", "usage.total_tokens"),
-        shape("usage.prompt_tokens", "usage.completion_tokens", "usage.total_tokens"),
-        F.when(at("usage.input_tokens").isNotNull() & at("usage.output_tokens").isNotNull(), F.struct(at("usage.input_tokens").alias("input"), at("usage.output_tokens").alias("output"), (at("usage.input_tokens") + at("usage.output_tokens")).alias("total"))),
-    )
-
-
-def failure_kind(status: Column) -> Column:
-    """The kind of an error by its HTTP status."""
+    """(input, output, total) tokens of a response in either of its two shapes; anything else is all zeros."""
+    at = lambda key: F.get_json_object(body, f"$.usage.{key}").try_cast("bigint")
+    shape = lambda *keys: F.when(F.array_size(F.array_compact(F.array(*map(at, keys)))) == 3, F.struct(*[at(k).alias(n) for k, n in zip(keys, ("input", "output", "total"))]))
+    nothing = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("input", "output", "total")])
+    return F.coalesce(shape("input_tokens", "output_tokens", "total_tokens"), shape("prompt_tokens", "completion_tokens", "total_tokens"), nothing)
+
+
+def retry_after(header: Column) -> Column:
+    """The seconds at the start of a ``retry-after`` header, or null."""
+    return leading_int(header)
+
+
+def response_kind(status: Column, body: Column, transport: Column) -> Column:
+    """``ok``, or the kind of an error: of the transport (``timeout``, ``transport``), by status (``auth``, ``rate_limited``, ``http``), or by a body of
+    status 200 (``malformed_response``, ``empty_response``)."""
+    text = answer_text(body)
     return (
-        F.when(status.isin(401, 403), F.lit("unauthorized")).when(status == 429, F.lit("rate_limited")).when(status == 408, F.lit("timeout"))
-        .when(status.between(500, 599), F.lit("unavailable")).when(status.between(400, 499), F.lit("invalid_request")).otherwise(F.lit("ok"))
+        F.when(transport == "timeout", F.lit("timeout")).when(transport.isNotNull(), F.lit("transport"))
+        .when(status == 401, F.lit("auth")).when(status == 429, F.lit("rate_limited")).when(status.isNull() | (status != 200), F.lit("http"))
+        .when(F.get_json_object(body, "$.output").isNull() | F.get_json_object(body, "$.usage").isNull(), F.lit("malformed_response"))
+        .when(text.isNull(), F.lit("malformed_response")).when(text == "", F.lit("empty_response")).otherwise(F.lit("ok"))
     )
+
+
+def _first_content(body: Column) -> Column:
+    """The first item of the output that has content."""
+    items = F.from_json(F.get_json_object(body, "$.output"), "array<struct<content:array<struct<text:string>>,status:string>>")
+    return F.get(F.filter(items, lambda x: x["content"].isNotNull()), F.lit(0))
+
+
+def answer_text(body: Column) -> Column:
+    return F.get(_first_content(body)["content"], F.lit(0))["text"]
+
+
+def finish_reason(body: Column) -> Column:
+    """``length`` for an answer that was broken off, else ``stop``."""
+    return F.when(_first_content(body)["status"] == "incomplete", F.lit("length")).otherwise(F.lit("stop"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,9 +21,12 @@ def binaries(spark: SparkSession, path: str, pattern: str = "*", recursive: bool
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, depth): files of subfolders before those of their parent, by name within a folder."""
+    """(path): in every folder the files of its subfolders come before its own, folders and files each by name."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
-    return found.withColumn("depth", F.size(F.split("path", "/"))).orderBy(F.desc("depth"), "path")
+    parts = F.split("path", "/")
+    # at each level a folder sorts before a file
+    place = F.transform(parts, lambda name, n: F.concat(F.when(n == F.size(parts) - 1, F.lit("1")).otherwise(F.lit("0")), name))
+    return found.orderBy(place)
 
 
 def extract(files: DataFrame, parser: Callable[[bytes], Extracted]) -> DataFrame:
@@ -55,26 +59,43 @@ def plain_text_pages(content: bytes) -> Extracted:
     return None, pages, skipped
 
 
-_DEFINITION = re.compile(r'@doc\s+"""\n(?P<doc>.*?)"""|^[ \t]*(?P<kind>defp?)[ \t]+(?P<name>[\w?!]+)(?P<head>[^\n]*)', re.S | re.M)
+_DOC = re.compile(r'^[ \t]*@doc[ \t]+(?:"""[^\n]*\n(?P<block>.*?)^[ \t]*"""|"(?P<line>[^"\n]*)"|(?P<none>false))', re.S | re.M)
+_HEAD = re.compile(r"^(?P<indent>[ \t]*)(?P<kind>defp?)[ \t]+(?P<name>[\w?!]+)(?P<rest>[^\n]*)", re.M)
+
+
+def _code(source: str, head: re.Match) -> str:
+    """A definition from its head to the ``end`` that is indented like it, or to the end of its line where it has no block."""
+    if not re.search(r"\bdo\s*$", head["rest"]):
+        return head[0].strip()
+    closing = re.compile(rf"^{head['indent']}end\b", re.M).search(source, head.end())
+    body = source[head.start() : closing.end() if closing else len(source)]
+    return textwrap.dedent(body).strip()
 
 
 def documented_functions(source: str) -> list[tuple[str, str]]:
-    """(name/arity, documentation and head) of the documented functions of one module; other sources give none.
+    """(name/arity, documentation and code) of the functions of one module; other sources give none.
 
-    Arity is 1 for a definition with a body and 0 for a bare head; a documentation is used up by the next definition.
+    Every definition counts; one without documentation has an empty one. Arity is 1 for a definition with a body and 0 for a bare head; a guard
+    hides the name (``when``). A documentation belongs to the next definition and is used up by it.
     """
-    if len(re.findall(r"^defmodule\b", source, re.M)) != 1:
+    if len(re.findall(r"^[ \t]*defmodule\b", source, re.M)) != 1:
         return []
-    out, doc = [], None
-    for found in _DEFINITION.finditer(source):
-        if found["doc"] is not None:
-            doc = found["doc"]
-        else:
-            if doc is not None:
-                name = "when" if re.search(r"\)\s+when\b", found["head"]) else found["name"]
-                arity = 1 if re.search(r"\bdo\b|, do:", found["head"]) else 0
-                out.append((f"{name}/{arity}", f"{doc.strip()}\n\n{found['kind']} {found['name']}{found['head']}".strip()))
-            doc = None
+    docs = list(_DOC.finditer(source))
+    within = lambda at: any(d.start() <= at < d.end() for d in docs)
+    found = sorted([*docs, *(h for h in _HEAD.finditer(source) if not within(h.start()))], key=lambda m: m.start())
+    out, doc, upto = [], "", 0
+    for m in found:
+        if m.start() < upto:
+            continue
+        if m.re is _DOC:
+            doc = textwrap.dedent(m["block"]) if m["block"] is not None else m["line"] or ""
+            continue
+        code = _code(source, m)
+        upto = m.start() + len(code)
+        name = "when" if re.search(r"\)\s+when\b", m["rest"]) else m["name"]
+        arity = 1 if re.search(r"\bdo\s*$|, do:", m["rest"]) else 0
+        out.append((f"{name}/{arity}", f"{doc}\n\n{code}"))
+        doc = ""
     return out
 
 

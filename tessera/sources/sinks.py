@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators.dml import upsert
 
@@ -18,8 +19,9 @@ def insert_checked(df: DataFrame, path: str) -> int:
     """Append and check that as many rows lie there as were to be written; returns the count."""
     spark = df.sparkSession
     part = f"{path}/batch={uuid.uuid4().hex[:12]}"
-    df.write.parquet(part)
-    written, wanted = spark.read.parquet(part).count(), df.count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(part)
+    written, wanted = spark.read.parquet(part).count(), seen.get["rows"]
     if written != wanted:
         raise OSError(f"{written} of {wanted} rows were written")
     return written

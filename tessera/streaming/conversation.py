@@ -15,13 +15,13 @@ OUTPUT = "conv_id string, turn bigint, command string, state_before string, stat
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     at = state.get[0] if state.exists else "idle"
-    for batch in batches:
-        rows = []
-        for turn, command in batch.sort_values("turn")[["turn", "command"]].itertuples(index=False):
-            then = TRANSITIONS.get((at, command))
-            rows.append((key[0], turn, command, at, then or at, then is not None))
-            at = then or at
-        yield pd.DataFrame(rows, columns=["conv_id", "turn", "command", "state_before", "state_after", "valid"])
+    # the commands of one conversation in one micro-batch, in order whatever batches of rows they came in
+    rows = []
+    for turn, command in pd.concat(batches).sort_values("turn")[["turn", "command"]].itertuples(index=False):
+        then = TRANSITIONS.get((at, command))
+        rows.append((key[0], turn, command, at, then or at, then is not None))
+        at = then or at
+    yield pd.DataFrame(rows, columns=["conv_id", "turn", "command", "state_before", "state_after", "valid"])
     state.update((at,))
 
 

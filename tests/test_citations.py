@@ -17,10 +17,10 @@ def respond(spark, texts, valid):
 @pytest.mark.parametrize(
     "text, valid, final, numbers",
     [
-        ("[5] first then [3] then [5] again.", [3, 5], "[1] first then [2] then [1] again.", {5: 1, 3: 2}),
-        ("[3] foo [99] bar", [3], "[1] foo bar", {3: 1}),
-        ("Cite [1] and also [99].", [1], "Cite [1] and also .", {1: 1}),
-        ("  \n\n\n\nFoo [1]\n\n\n  ", [1], "Foo [1]", {1: 1}),
+        ("Caches [8] age, see [2]; [8] says how.", [2, 8], "Caches [1] age, see [2]; [1] says how.", {8: 1, 2: 2}),
+        ("[6] opens [44] ports", [6], "[1] opens ports", {6: 1}),
+        ("Reads [2], then [31].", [2], "Reads [1], then .", {2: 1}),
+        (" \n\n\n Ends [4]\n\n\n\n and [4]\n ", [4], "Ends [1]\n\n and [1]", {4: 1}),
         ("[9][1]", [1], "[2]", {1: 2}),
         ("[007] a", [7], "[1] a", {7: 1}),
         ("[99999999999999999999999999999999999999999] a", [1], "a", {}),
@@ -33,8 +33,8 @@ def test_rewrite(spark, text, valid, final, numbers):
 
 
 def test_warnings_and_null(spark):
-    rows = respond(spark, ["Cite [1] and also [99].", None], [1])
-    assert rows[0].warnings == ["unknown citation [99]"] and rows[1].citations == [] and rows[1].final_text == ""
+    rows = respond(spark, ["A lock [3] waits, as [57] has it.", None], [3])
+    assert rows[0].warnings == ["unknown citation [57]"] and rows[1].citations == [] and rows[1].final_text == ""
 
 
 parts = st.lists(st.one_of(st.sampled_from(["word", "a", " ", "x.", "\n"]), st.integers(1, 32).map(lambda n: f"[{n}]")), max_size=16).map(" ".join)
@@ -52,14 +52,29 @@ def test_cited_and_hallucinated_part_the_markers(spark, texts, valid):
 
 
 def test_actions(spark):
-    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (1, 4, None)], "doc int, new_index int, source_ref string")
-    assert [(r.source_ref, r.new_index) for r in citations.download_actions(df, "doc").orderBy("new_index").collect()] == [("a", 1), ("b", 2)]
-
-
-def test_labels_and_preview(spark):
-    df = spark.createDataFrame([("1", "T", 3, None, "a" * 350, "p"), ("2", None, None, "S", "b", "p")], "id string, book_title string, page_number int, section_title string, text string, source_file_path string")
-    rows = [r.c for r in df.select(citations.citable_chunk().alias("c")).collect()]
-    assert [r.label for r in rows] == ["T, p. 3", "S"] and len(rows[0].preview) == 200
+    df = spark.createDataFrame([(1, 1, "a", "A1"), (1, 2, "b", "B"), (1, 3, "a", "A3"), (1, 4, None, "none")], "doc int, new_index int, source_ref string, label string")
+    assert [(r.kind, r.label, r.source_ref) for r in citations.download_actions(df, "doc").orderBy("new_index").collect()] == [("download", "A1", "a"), ("download", "B", "b")]
+
+
+def test_labels_preview_extras(spark):
+    rows = [("1", "T", 3, None, "a" * 350, "p"), ("2", "T", None, "S", "b", "p"), ("3", "T", 9, "S", "c", "p"), ("4", "T", None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, book_title string, page_number int, section_title string, text string, source_file_path string").withColumn("chunk_index", F.lit(5))
+    got = [r.c for r in df.select(citations.citable_chunk().alias("c")).collect()]
+    assert [r.label for r in got] == ["T, p. 3", "T — S", "T, p. 9 — S", "T"] and len(got[0].preview) == 200
+    assert got[2].extras.asDict() == {"book_title": "T", "page_number": 9, "section_title": "S", "chunk_index": 5} and got[3].source_ref is None
+    doc = spark.createDataFrame([("7", "pkg", "f/1", "text", "http://u.test", "1.0", "elixir", "web")], "id string, package string, title string, text string, url string, version string, language string, source string")
+    cited = doc.select(citations.citable_document().alias("c")).first().c
+    assert (cited.label, cited.source_ref, cited.extras.version) == ("pkg — f/1", "http://u.test", "1.0")
+    chunk_map = doc.select(F.lit(2).alias("idx"), citations.citable_document().alias("metadata"))
+    asked = spark.createDataFrame([(1, 2, 1), (1, 9, 2)], "doc int, old_index int, new_index int")
+    assert [(r.doc, r.new_index, r.label) for r in citations.resolve(asked, chunk_map).collect()] == [(1, 1, "pkg — f/1")]
+
+
+def test_layouts(spark):
+    row = spark.range(1).select(
+        prompt.chunk_context(F.lit("T"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit("x")).alias("c"), prompt.document_context(F.lit("p"), F.lit("f/1"), F.lit(None).cast("string"), F.lit("x")).alias("d")
+    ).first()
+    assert row.c == "Book: T | Page: \nSection: (none)\n\nx" and row.d == "Package: p | Function: f/1\nURL: \n\nx"
 
 
 def test_history(spark):

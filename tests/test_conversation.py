@@ -7,43 +7,10 @@ from tessera.streaming.conversation import running_transitions
 from tessera.streaming.ingest import ingest_stream
 
 
-def session(**more):
-    calls = []
-
-    def search(question):
-        calls.append(question)
-        return ["a", "b"] if question != "nothing" else []
-
-    return conversation.Session(search, lambda q, results, history: f"{q}:{len(results)}", **more), calls
-
-
-def test_first_turn_searches_and_later_ones_reuse():
-    s, calls = session()
-    assert s.ask("one") == "one:2" and s.ask("two") == "two:2" and calls == ["one"]
-    assert [q for q, _ in s.history] == ["one", "two"]
-    assert [e for e, _ in s.events] == ["state_change", "response_ready"] * 2
-
-
-def test_history_starts_anew_without_results():
-    s, _ = session()
-    s.ask("nothing")
-    s.ask("again")
-    assert [q for q, _ in s.history] == ["again"]
-
-
-def test_selection():
-    s, _ = session()
-    assert s.manual_ask("q") == ["a", "b"] and s.state == "awaiting_selection"
-    with pytest.raises(ValueError):
-        s.select(["zz"])
-    with pytest.raises(RuntimeError):
-        s.ask("no")
-    assert s.select(["b"]) == "q:1" and s.state == "idle"
-
-
-def test_errors_are_kept():
-    s = conversation.Session(lambda q: 1 / 0, lambda *a: "")
-    assert s.ask("x") is None and s.errors and s.events[-1][0] == "error"
+def test_histories_start_anew(spark):
+    df = spark.createDataFrame([("c", n, found) for n, found in enumerate([3, 2, 0, 4, 4, 0, 0])], "conv_id string, turn int, n_results int")
+    got = conversation.histories(df).orderBy("turn").collect()
+    assert [(r.history_start, r.history_turns) for r in got] == [(0, 1), (0, 2), (0, 3), (3, 1), (3, 2), (3, 3), (6, 1)]
 
 
 def fold(commands):
@@ -86,11 +53,15 @@ def test_stream_ingest_merges_and_diverts(spark, tmp_path):
 
 
 def test_providers(spark):
-    bodies = ['{"usage":{"input_tokens":1,"output_tokens":2,"total_tokens":3}}', '{"usage":{"prompt_tokens":1,"completion_tokens":2,"total_tokens":3}}', '{"usage":{"input_tokens":1,"output_tokens":2}}', '{"usage":{"prompt_tokens":1}}', "{}"]
+    bodies = ['{"usage":{"input_tokens":1,"output_tokens":2,"total_tokens":3}}', '{"usage":{"prompt_tokens":1,"completion_tokens":2,"total_tokens":3}}', '{"usage":{"input_tokens":1,"output_tokens":2}}', "{}"]
     got = [r.u for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(providers.usage(F.col("b")).alias("u")).collect()]
-    assert [u and (u.input, u.output, u.total) for u in got] == [(1, 2, 3)] * 3 + [None, None]
-    kinds = [r.k for r in spark.createDataFrame([(s,) for s in (200, 401, 429, 503, 418)], "s int").select(providers.failure_kind(F.col("s")).alias("k")).collect()]
-    assert kinds == ["ok", "unauthorized", "rate_limited", "unavailable", "invalid_request"]
+    assert [tuple(u) for u in got] == [(1, 2, 3)] * 2 + [(0, 0, 0)] * 2
+    good, cut, empty, bare = ('{"output":[{"type":"x"},{"content":[{"text":"%s"}],"status":"%s"}]%s}' % x for x in (("hi", "completed", ',"usage":{}'), ("hi", "incomplete", ',"usage":{}'), ("", "completed", ',"usage":{}'), ("hi", "completed", "")))
+    cases = [(200, good, None), (200, cut, None), (200, empty, None), (200, bare, None), (200, '{"usage":{},"output":[]}', None), (401, None, None), (429, None, None), (503, None, None), (None, None, "timeout"), (None, None, "closed")]
+    rows = spark.createDataFrame(cases, "s int, b string, t string").select(providers.response_kind(F.col("s"), F.col("b"), F.col("t")).alias("k"), providers.finish_reason(F.col("b")).alias("f"), providers.answer_text(F.col("b")).alias("a")).collect()
+    assert [r.k for r in rows] == ["ok", "ok", "empty_response", "malformed_response", "malformed_response", "auth", "rate_limited", "http", "timeout", "transport"]
+    assert [(r.f, r.a) for r in rows[:2]] == [("stop", "hi"), ("length", "hi")]
+    waits = spark.createDataFrame([("20",), ("7 s",), ("soon",), (None,)], "w string").select(providers.retry_after(F.col("w")).alias("n")).collect()
+    assert [r.n for r in waits] == [20, 7, None, None]
     vec = spark.createDataFrame([("a b a",), (None,)], "t string").select(providers.HashedEmbedder(16).embed(F.col("t")).alias("v")).collect()
     assert len(vec[0].v) == 16 and abs(sum(x * x for x in vec[0].v) - 1) < 1e-6 and not any(vec[1].v)
-    assert providers.ExtractiveGenerator().answer("q", ["One. Two.", "Three"]) == "One [1]. Three [2]."

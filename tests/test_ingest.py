@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.operators import dml, ingest
+from tessera.providers import HashedEmbedder
 from tessera.sources import files, sinks
 
 
@@ -80,6 +81,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"x")
     found = files.binaries(spark, str(tmp_path), "*.txt")
     assert [r.path.rsplit("/", 1)[1] for r in files.listing(spark, str(tmp_path), "*.txt").collect()] == ["a.txt", "b.txt"]
+    for name in ("zed/deep/1.txt", "zed/2.txt", "arc/3.txt", "0.txt"):
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_bytes(b"x")
+    assert [r.path.rsplit("/", 1)[1] for r in files.listing(spark, str(tmp_path / "tree")).collect()] == ["3.txt", "1.txt", "2.txt", "0.txt"]
 
     def parser(content):
         if content == b"x":
@@ -92,6 +97,54 @@ def test_files(spark, tmp_path):
 
 
 def test_documented_functions():
-    source = 'defmodule A do\n  @doc """\n  Adds.\n  """\n  def add(a, b) do\n    a + b\n  end\n\n  def hidden(x), do: x\n\n  @doc """\n  Head.\n  """\n  def head(x)\n\n  @doc """\n  Guard.\n  """\n  defp g(x) when x > 1 do\n  end\nend\n'
-    assert [t for t, _ in files.documented_functions(source)] == ["add/1", "head/0", "when/1"]
+    source = """defmodule Store do
+  @doc \"\"\"
+  Puts a value.
+
+      def in_an_example(x) do
+  \"\"\"
+  @spec put(map, term) :: map
+  def put(store, value) do
+    if value do
+      Map.put(store, :v, value)
+    end
+  end
+
+  def hidden(x), do: x
+
+  @doc "A head."
+  def head(x)
+
+  @doc false
+  defp g(x) when x > 1 do
+    x
+  end
+end
+"""
+    found = dict(files.documented_functions(source))
+    assert list(found) == ["put/1", "hidden/1", "head/0", "when/1"]
+    assert found["put/1"].startswith("Puts a value.") and found["put/1"].endswith("def put(store, value) do\n  if value do\n    Map.put(store, :v, value)\n  end\nend")
+    assert found["hidden/1"] == "\n\ndef hidden(x), do: x" and found["head/0"] == "A head.\n\ndef head(x)" and found["when/1"].endswith("x\nend")
     assert files.documented_functions("no module") == [] and files.documented_functions(source + source) == []
+
+
+def test_retry_lookups_and_what_a_run_added(spark):
+    failures = spark.createDataFrame([("f1", "Enum@x", "1.0"), ("f2", "Enum@x", "2.0"), ("f3", None, "1.0")], "id string, input_identifier string, version string")
+    raw = spark.createDataFrame([("Enum", "1.0"), ("Enum", "1.0"), ("List", "1.0")], "module string, version string")
+    assert {r.id: r.found for r in ingest.retry_from_raw(failures, raw).collect()} == {"f1": 2, "f2": 0, "f3": 0}
+    asked = spark.createDataFrame([("f1", "7"), ("f2", "8"), ("f3", None)], "id string, input_identifier string")
+    assert {r.id: r.found for r in ingest.retry_from_chunk(asked, spark.createDataFrame([(7,)], "id int")).collect()} == {"f1": True, "f2": False, "f3": False}
+    before = spark.createDataFrame([("a", "B", "I", "1", False)], "id string, pipeline_behaviour string, pipeline_implementation string, version string, pipeline_fatal boolean")
+    after = before.union(spark.createDataFrame([("b", "B", "I", "1", False), ("c", "B", "I", "1", True)], before.schema))
+    assert [r.failures for r in ingest.failures_between(before, after).collect()] == [1]
+
+
+def test_a_run_over_books(spark):
+    books = spark.createDataFrame([("b1", "h1", "T", 1), ("b2", "h1", "T", 2), ("b3", "h2", None, 1)], "id string, file_hash string, title string, inserted_at int")
+    pages = spark.createDataFrame([(1, "b1", 1, "some text", 1), (2, "b1", 2, " ", 1), (3, "b3", 1, None, 1), (4, "b1", 4, "more", 1)], "page_id int, parsed_book_id string, page_number int, text string, extracted_at int")
+    skipped = spark.createDataFrame([("b1", 3)], "parsed_book_id string, page_number int")
+    run = ingest.book_run(books, pages, skipped, HashedEmbedder(8).embed)
+    got = {r.id: (r.n_chunks, r.warning, r.outcome) for r in run.report().collect()}
+    assert got == {"b1": (2, "skipped pages: 3", "ok"), "b3": (0, None, "error")}
+    assert [(r.chunk_index, len(r.embedding)) for r in run.chunks.orderBy("chunk_index").collect()] == [(0, 8), (1, 8)]
+    assert [r.input_identifier for r in run.failures.collect()] == ["b3"]

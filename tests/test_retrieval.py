@@ -3,8 +3,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators import candidates, corpus, expand, lexical, predicates, rank, search, vector
-from tessera.spec import RetrievalQuery
+from tessera.operators import candidates, corpus, expand, index, lexical, predicates, rank, search, vector
+from tessera.spec import CorpusSpec, RetrievalQuery
 
 
 def test_builder_keeps_order_and_omits_min_score():
@@ -22,9 +22,10 @@ def fused(spark, rows):
 
 
 def test_minmax_fuse(spark):
-    assert fused(spark, [(0.8, 0.3), (None, 0.9)]) == [0.5, 1.0]
-    assert fused(spark, [(0.8, 0.3)]) == [1.0]
-    assert fused(spark, [(0.5, 0.5), (0.5, 0.5)]) == [1.0, 1.0]
+    assert fused(spark, [(0.6, 0.2), (None, 0.7)]) == [0.5, 1.0]
+    assert fused(spark, [(0.61, 0.44)]) == [1.0]
+    assert fused(spark, [(0.25, 0.75), (0.25, 0.75)]) == [1.0, 1.0]
+    assert fused(spark, [(0.2, 0.1), (0.6, 0.5), (0.4, 0.2)]) == [0.0, 1.0, 0.375]
     assert fused(spark, []) == []
 
 
@@ -34,12 +35,12 @@ def context(spark, scores):
 
 
 def test_prepare_context(spark):
-    assert [s for _, s in context(spark, [0.9, 0.7, 0.5, 0.2, 0.1])] == [0.9, 0.7, 0.5]
-    assert len(context(spark, [0.8] * 15)) == 10
-    assert [i for i, _ in context(spark, [0.9, 0.1, 0.7, 0.05, 0.5])] == [1, 2, 3]
-    assert context(spark, [None, 0.5])[0] == (1, None)
+    assert [s for _, s in context(spark, [0.31, 0.3, 0.29, 0.84, 0.0])] == [0.84, 0.31, 0.3]
+    assert len(context(spark, [0.62] * 13)) == 10
+    assert [i for i, _ in context(spark, [0.12, 0.77, 0.21, 0.64, 0.02])] == [1, 2]
+    assert context(spark, [0.66, None])[0] == (1, None)
     queries = spark.createDataFrame([(1,), (2,)], "query_id int")
-    df = spark.createDataFrame([(1, 0.9)], "query_id int, relevance_score double")
+    df = spark.createDataFrame([(1, 0.45)], "query_id int, relevance_score double")
     assert {r.query_id: r.quality for r in rank.context_quality(queries, df).collect()} == {1: "good", 2: "none"}
 
 
@@ -133,6 +134,7 @@ def results(spark, rows):
 def test_grouping_selection_labels(spark):
     df = results(spark, [("c1", "A", 5), ("c2", "B", 7), ("c3", "A", 2), ("c4", None, None)])
     groups = candidates.group_by_document(df).orderBy("position").collect()
+    assert [r.id for r in candidates.all_chunk_ids(candidates.group_by_document(df)).orderBy("ordinal").collect()] == ["c1", "c3", "c2", "c4"]
     assert [(g.document, g.chunk_ids) for g in groups] == [("A", ["c1", "c3"]), ("B", ["c2"]), ("c4", ["c4"])]
     labels = {r.document: (r.page_label, len(r.preview)) for r in candidates.document_metadata(df).collect()}
     assert labels == {"A": ("PDF pages 2-5", 100), "B": ("PDF page 7", 100), "c4": (None, 100)}
@@ -155,3 +157,32 @@ def test_predicates(spark):
     assert df.where(predicates.by_book("b") & predicates.within_pages(4, 1)).count() == 1
     assert df.where(predicates.on_page(9)).count() == 1
     assert df.select(predicates.without_blanks(F.array(F.lit(""), F.lit("a"))).alias("x")).first().x == ["a"]
+
+
+def test_an_index_from_the_schema(spark, tmp_path):
+    units = spark.createDataFrame([(1, "alpha beta beta", "t", [1.0], True), (2, "gamma", "u", [2.0], False), (3, None, "v", None, None)], "id int, text string, title string, embedding array<float>, core boolean")
+    made = index.build(units, str(tmp_path / "i"))
+    assert made.kinds == {"id": "number", "text": "text", "title": "keyword", "embedding": "vector", "core": "flag"}
+    held = made.postings(spark)
+    assert {(r.id, r.term, r.tf, r.length) for r in held.collect()} == {(1, "alpha", 1, 3), (1, "beta", 2, 3), (1, None, 1, 3), (2, "gamma", 1, 1), (2, None, 1, 1), (3, None, 1, 0)}
+    queries = spark.createDataFrame([(1, "beta gamma"), (2, "beta"), (3, "nothing")], "query_id int, text string")
+    plain = {(r.query_id, r.id): r.score for r in lexical.bm25(units, queries).collect()}
+    assert plain == {(r.query_id, r.id): r.score for r in lexical.bm25(made.units(spark), queries, index=held).collect()} and set(plain) == {(1, 1), (1, 2), (2, 1)}
+    among = spark.createDataFrame([(1, 2)], "query_id int, id int")
+    assert [(r.query_id, r.id, r.score) for r in lexical.bm25(units, queries, among=among).collect()] == [(1, 2, plain[1, 2])]
+
+
+def test_units_without_an_order_are_not_expanded(spark):
+    units = spark.createDataFrame([(n, f"p{n}") for n in range(5)], "id int, package string")
+    hits = spark.createDataFrame([(1, 2, 0.9), (1, 4, 0.8)], "query_id int, id int, backend_score double")
+    got = search.with_context(units, hits, spec=CorpusSpec("docs", {"text": 1.0})).collect()
+    assert {(r.id, r.hit_source) for r in got} == {(2, "search"), (4, "search")}
+
+
+def test_page_groups(spark):
+    rows = [(1, n, n, "b" if n < 4 else "c", page, None, f"text {n} " + "x" * 300) for n, page in enumerate([7, 2, 7, None, 5])]
+    df = spark.createDataFrame(rows, "query_id int, id int, rank int, parsed_book_id string, page_number int, section_title string, text string")
+    df = df.selectExpr("*", "upper(parsed_book_id) AS book_title", "'path' AS source_file_path", "90 AS total_pages")
+    got = search.page_groups(df).orderBy("position").collect()
+    assert [(r.book_title, r.hit_count, r.total_pages) for r in got] == [("B", 4, 90), ("C", 1, 90)]
+    assert [(p.page_number, p.chunk_preview[:6], len(p.chunk_preview)) for p in got[0].pages] == [(2, "text 1", 200), (7, "text 0", 200), (None, "text 3", 200)]
