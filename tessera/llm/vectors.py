@@ -50,8 +50,8 @@ class SearchSettings:
     #: Sampled rows that give every query a lower bound of its k-th similarity.
     bound_rows: int = 2048
     #: Data rows and queries at most (as estimated from the sample) in one task.
-    block_rows: int = 120_000
-    chunk_rows: int = 120_000
+    block_rows: int = 200_000
+    chunk_rows: int = 200_000
     #: Tables of so many rows at most are one block and one chunk: dealing them out costs more than the search.
     whole_rows: int = 4_000
     seed: int = 7
