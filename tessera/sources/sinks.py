@@ -32,12 +32,29 @@ def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def merge(rows: DataFrame, path: str, key: str = "id", order: str = "updated_at") -> None:
-    """Upsert into the Parquet table at ``path``: the new state is written beside it and then renamed into place."""
+def merge(rows: DataFrame, path: str, key: str = "id", order: str = "updated_at", buckets: int = 64) -> None:
+    """Upsert into the Parquet table at ``path``, whose rows lie in one folder per hash of the key (column ``key_bucket``).
+
+    Only the folders that ``rows`` touch are read, merged, written beside the table and renamed into place; a batch that is
+    merged again gives the same table.
+    """
     spark = rows.sparkSession
     fs, target = _fs(spark, path)
-    merged = upsert(spark.read.parquet(path), rows, key, order) if fs.exists(target) else upsert(rows.limit(0), rows, key, order)
-    publish({path: merged}, spark)
+    placed = rows.withColumn("key_bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
+    touched = [r["key_bucket"] for r in placed.select("key_bucket").distinct().collect()]  # at most ``buckets`` numbers
+    folder = lambda root, n: f"{root}/key_bucket={n}"
+    held = [folder(path, n) for n in touched if fs.exists(_fs(spark, folder(path, n))[1])]
+    before = spark.read.option("basePath", path).parquet(*held) if held else placed.limit(0)
+    fresh, old = (f"{path}.{uuid.uuid4().hex[:12]}.{kind}" for kind in ("new", "old"))
+    upsert(before, placed, key, order).repartition("key_bucket").write.partitionBy("key_bucket").parquet(fresh)
+    fs.mkdirs(target)
+    fs.mkdirs(_fs(spark, old)[1])
+    for n in touched:
+        if folder(path, n) in held:
+            fs.rename(_fs(spark, folder(path, n))[1], _fs(spark, folder(old, n))[1])
+        fs.rename(_fs(spark, folder(fresh, n))[1], _fs(spark, folder(path, n))[1])
+    for left in (fresh, old):
+        fs.delete(_fs(spark, left)[1], True)
 
 
 def publish(tables: dict[str, DataFrame], spark: SparkSession) -> None:

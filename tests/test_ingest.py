@@ -68,6 +68,11 @@ def test_checked_insert_and_publication(spark, tmp_path):
     sinks.merge(df, path)
     sinks.merge(spark.createDataFrame([(1, "b", 2), (2, "c", 1)], df.schema), path)
     assert {r.id: r.v for r in spark.read.parquet(path).collect()} == {1: "b", 2: "c"}
+    folders = {p.name: p.stat().st_ino for p in (tmp_path / "merged").iterdir() if p.is_dir()}
+    sinks.merge(spark.createDataFrame([(2, "d", 5)], df.schema), path)
+    after = {p.name: p.stat().st_ino for p in (tmp_path / "merged").iterdir() if p.is_dir()}
+    # only the folder of the key that came is written anew
+    assert {r.id: r.v for r in spark.read.parquet(path).collect()} == {1: "b", 2: "d"} and sum(folders[n] != after[n] for n in folders) == 1
     bad = df.select(F.raise_error(F.lit("no")).alias("id"))
     with pytest.raises(Exception):
         sinks.publish({path: df, str(tmp_path / "x"): bad}, spark)
