@@ -444,13 +444,15 @@ def find_damage(records: DataFrame, most_rounds: int = 8, settled: float = 1e-3,
     """
     lists = stage(token_lists(records), "tokens")
     each = lists.select("rec", "group", "length", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("rec", "group", "length", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
-    vocabulary = stage(each.groupBy("token").agg(F.sum("times").alias("n")), "vocabulary")
+    # few bytes, but much work for each: dealt out to all cores
+    cores = records.sparkSession.sparkContext.defaultParallelism
+    vocabulary = stage(each.groupBy("token").agg(F.sum("times").alias("n")).repartition(cores, "token"), "vocabulary")
     base = _counted(vocabulary.select("token", F.col("n").alias("weight")))
     likely = F.col("gain") > -2
     undone = stage(undone_tokens(vocabulary, CharModel(*base)), "undone")
     suspects = stage(undone.where(likely).select("token").distinct(), "suspects")
     # the few suspicious tokens: all that the rounds need of records and chains
-    undone = stage(undone.join(broadcast_if_small(suspects, 16), "token", "left_semi"), "undone-suspects")
+    undone = stage(undone.join(broadcast_if_small(suspects, 16), "token", "left_semi").repartition(cores, "token"), "undone-suspects")
     found = spread_join(each, suspects, "token", row_bytes=16).withColumn("n", 1 + F.log(F.col("times").cast("double")))
     found = stage(found.withColumn("weight", F.sum("n").over(Window.partitionBy("rec"))), "evidence")
     sizes = stage(records.select(_group()).groupBy("group").agg(F.count(F.lit(1)).alias("records")), "groups")
