@@ -12,7 +12,7 @@ is scored in Spark by a map over Arrow batches, without any shuffle. The model i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,46 +34,69 @@ ENGLISH = frozenset(
     "this to was we when which with you your".split()
 )
 
-_FENCE = re.compile(r"^\s*(```|~~~)")
-_SKIP = re.compile(r"^(\t| {4,}|\s*([|#>]|[-*+•] |\d{1,3}[.)] |https?://|={3,}|-{3,}))")
-_CODE = re.compile(
-    r"^\s*(\|>|import \S+$|def \w|defp? |return\b.*[^.]$|assert \w+[( ]|let (mut )?\w+ ?=|for \w+ in \w+:|if [\w.]+ [=!<>]=|#\s|//|@\w+|\w+ = \S|[\w.]+\(.*\);?$)"
-    r"|::|->|[;{}]\s*$|\bdo$|, do: "
+_FENCES = ("```", "~~~")
+#: What opens a line that is no prose: of tables, lists, headings, quotes and bare links, then of code.
+_SKIP = re.compile(
+    r"\t| {4,}|\s*(?:[|#>]|[-*+•] |\d{1,3}[.)] |https?://|={3,}|-{3,}"
+    r"|import \S+$|def \w|defp? |return\b.*[^.]$|assert \w+[( ]|let (?:mut )?\w+ ?=|for \w+ in \w+:|if [\w.]+ [=!<>]=|//|@\w+|\w+ = \S|[\w.]+\(.*\);?$)"
 )
+_LONE_DO = re.compile(r"\bdo$")
 _URL = re.compile(r"https?://\S+|\]\([^)\s]*\)|www\.\S+")
 _MARK = re.compile(r"\[\d+\]|`[^`\n]*`|<[^<>\n]{1,80}>")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+(?=[\"'“‘(`]?\w)|\n{2,}")
+# starts with a set of characters, as that is searched for fast; the mark belongs to the sentence that it ends
+_SENTENCE = re.compile(r"[.!?…\n](?:(?<!\n)[\"'”’)\]]*\s+(?=[\"'“‘(`]?\w)|(?<=\n)\n+)")
+_ABBREVIATION = re.compile(r"\b(e\.g|i\.e|cf|ch|v|vs|fig|no|etc)\.$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Stands between sentences, none of which holds it.
+_BREAK = "\n\n"
+_PIECE = re.compile(_WORD.pattern + "|\n\n")
+_PLAIN_PIECE = re.compile("[a-z]+(?:'[a-z]+)*|\n\n")  # the same for lower-cased ASCII
 
 
 def prose(text: str) -> str:
     """The running text: lines of code, tables, lists, headings, quotes and bare links are left out, and so
     are links, citation markers, tags and inline code within lines."""
-    lines, fenced = [], False
+    lines, fenced, fences = [], False, "```" in text or "~~~" in text
     for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        if _FENCE.match(line):
+        if fences and line.lstrip().startswith(_FENCES):
             fenced = not fenced
-        elif not fenced and not _SKIP.match(line) and not _CODE.search(line):
+        elif not fenced and not _SKIP.match(line) and not _is_code(line):
             lines.append(line)
         elif lines and lines[-1]:
             lines.append("")  # what was left out ends a paragraph
-    return _MARK.sub(" ", _URL.sub(" ", "\n".join(lines)))
+    kept = "\n".join(lines)
+    if "http" in kept or "](" in kept or "www." in kept:
+        kept = _URL.sub(" ", kept)
+    return _MARK.sub(" ", kept) if "[" in kept or "`" in kept or "<" in kept else kept
+
+
+def _is_code(line: str) -> bool:
+    """Whether a line is code by what it holds or ends in."""
+    return "::" in line or "->" in line or line.rstrip().endswith((";", "{", "}")) or ", do: " in line or (line.endswith("do") and _LONE_DO.search(line) is not None)
 
 
 def sentences(text: str) -> list[str]:
     """Sentences of a prose text; an abbreviation in front of a lower-case word or a digit ends none."""
     out: list[str] = []
-    for part in _SENTENCE.split(text):
-        part = part.strip()
+    start = 0
+    for mark, after in [*(m.span() for m in _SENTENCE.finditer(text)), (len(text), 0)]:
+        part = text[start : mark + 1].strip()
+        start = after
         if not part:
             continue
-        if out and re.search(r"\b(e\.g|i\.e|cf|ch|v|vs|fig|no|etc)\.$", out[-1]):
+        # the tail is longer than any abbreviation and what must not stand in front of it
+        if out and out[-1][-1] == "." and _ABBREVIATION.search(out[-1][-6:]):
             out[-1] += " " + part
         else:
             out.append(part)
     return out
 
 
+def _trigrams(a, b, c):
+    """Buckets of trigrams by their bytes."""
+    return ((a * 961 + b * 31 + c) * 40503 >> 4) % CHAR_BUCKETS
+
+
 class _Features:
     """Hashed features of sentences; words are hashed once per worker."""
 
@@ -90,9 +113,9 @@ class _Features:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     @staticmethod
-    def chars(sentence: str) -> np.ndarray:
-        b = np.frombuffer((" " + " ".join(_WORD.findall(sentence.lower())) + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
-        return ((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) * 40503 >> 4) % CHAR_BUCKETS if len(b) > 2 else np.zeros(1, np.int64)
+    def chars(words: list[str]) -> np.ndarray:
+        b = np.frombuffer((" " + " ".join(words) + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+        return _trigrams(b[:-2], b[1:-1], b[2:])
 
     def of(self, text: str) -> tuple[list[int], list[np.ndarray], list[np.ndarray], list[str]]:
         """Per sentence: number of words, word features, character features; and all words."""
@@ -102,16 +125,15 @@ class _Features:
             if words:
                 sizes.append(len(words))
                 word_ids.append(self.words(words))
-                char_ids.append(self.chars(sentence))
+                char_ids.append(self.chars(words))
                 everything += words
         return sizes, word_ids, char_ids, everything
 
 
-def is_english(words: list[str]) -> bool:
-    """Whether enough of the words are frequent English ones and nearly all of the letters plain."""
-    if not words:
-        return False
-    return sum(w in ENGLISH for w in words) >= 0.15 * len(words) and sum(w.isascii() for w in words) >= 0.9 * len(words)
+def is_english(words: list[str], breaks: int = 0) -> bool:
+    """Whether enough of the words are frequent English ones and nearly all of the letters plain; so many entries are breaks, no words."""
+    n = len(words) - breaks
+    return n > 0 and sum(map(ENGLISH.__contains__, words)) >= 0.15 * n and sum(map(str.isascii, words)) - breaks >= 0.9 * n
 
 
 @dataclass(frozen=True)
@@ -142,6 +164,101 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+#: Words of which a scorer keeps what they add to a sentence, and words that are scored at once.
+KNOWN_WORDS, CHUNK_WORDS = 300_000, 50_000
+
+
+class _Scorer:
+    """Scores whole texts, many at once. What a word adds to its sentence (the weights of its bucket, those of all trigrams within it and
+    the blanks around it) is summed once per worker, so that only the trigrams across two words are looked up for every word."""
+
+    def __init__(self, model: LevelModel):
+        self.model = model
+        letter = np.arange(256)
+        #: Weights of the trigram of a last byte, a blank and a first byte; byte 0 is no word's and adds nothing.
+        self.across = model.char[_trigrams(letter[:, None], 32, letter[None, :])]
+        self.across[0] = self.across[:, 0] = 0
+        self.across = self.across.reshape(-1, LEVELS)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {_BREAK: 0}
+        #: Per word: weights of its bucket, sum of its trigrams' weights; first and last byte, bytes with one blank.
+        self.sums = np.zeros((1 << 12, 2 * LEVELS))
+        self.first, self.last, self.length = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def _learn(self, pieces: list[str]) -> None:
+        new = list(dict.fromkeys(w for w in pieces if w not in self.known))
+        coded = [w.encode("utf-8", "surrogatepass") for w in new]
+        at = len(self.known)
+        while at + len(new) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.first, self.last, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.last, self.length))
+        these = slice(at, at + len(new))
+        size = np.fromiter(map(len, coded), np.int64, len(new))
+        start = np.cumsum(size + 1) - size - 1
+        b = np.frombuffer(b" " + b" ".join(coded) + b" ", np.uint8).astype(np.int64)
+        # a word has as many trigrams as bytes; the one from its last byte on reaches into the next word and is left out
+        inside = np.ones(len(b) - 2, bool)
+        inside[start[1:] - 1] = False
+        self.sums[these, :LEVELS] = self.model.word[np.fromiter((xxhash.xxh32_intdigest(c) % WORD_BUCKETS for c in coded), np.int64, len(new))]
+        weights = self.model.char[_trigrams(b[:-2], b[1:-1], b[2:])[inside]].astype(np.float64)
+        self.sums[these, LEVELS:] = np.add.reduceat(weights, np.cumsum(size) - size, axis=0)
+        self.first[these], self.last[these], self.length[these] = b[start + 1], b[start + size], size + 1
+        self.known.update(zip(new, range(at, at + len(new))))
+
+    def _levels(self, pieces: list[str], lengths: list[int]) -> tuple[list[int], list[float], list[list[float]]]:
+        """Sentences, years and shares of texts; ``pieces`` has a break after every sentence, and ``lengths`` many belong to each text."""
+        if len(self.known) > KNOWN_WORDS:
+            self._forget()
+        try:
+            ids = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        except KeyError:
+            self._learn(pieces)
+            ids = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        ends = np.flatnonzero(ids == 0)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        starts, ends = starts[ends > starts], ends[ends > starts]
+        sizes, spans = ends - starts, np.stack([starts, ends], axis=1).ravel()
+        added = self.sums[ids]
+        added[:-1, LEVELS:] += self.across[self.last[ids[:-1]] * 256 + self.first[ids[1:]]]
+        # every other sum is that of a sentence without any row besides, so that it is the same in every batch
+        sums = np.add.reduceat(added, spans, axis=0)[::2]
+        trigrams = np.add.reduceat(self.length[ids], spans)[::2] - 1
+        found = _softmax(sums[:, :LEVELS] / sizes[:, None] + sums[:, LEVELS:] / trigrams[:, None] + self.model.bias)
+        first = np.searchsorted(starts, np.cumsum(lengths) - lengths)
+        shares = np.add.reduceat(found * sizes[:, None], first, axis=0) / np.add.reduceat(sizes, first)[:, None]
+        years = np.clip((shares * self.model.years).sum(axis=1), 1, 18)
+        return np.diff(np.append(first, len(starts))).tolist(), years.tolist(), shares.tolist()
+
+    def score(self, texts: Iterable[str | None]) -> list[tuple[bool, int, int | None, float | None, list[float] | None]]:
+        """(english, words, sentences, years, shares of the levels) of every text."""
+        out: list = []
+        places, pieces, lengths = [], [], []
+        for text in texts:
+            running = _BREAK.join(sentences(prose(text))).lower() if text else ""
+            found = (_PLAIN_PIECE if running.isascii() else _PIECE).findall(running)
+            breaks = found.count(_BREAK)
+            if not is_english(found, breaks):
+                out.append((False, len(found) - breaks, None, None, None))
+                continue
+            places.append(len(out))
+            out.append((True, len(found) - breaks))
+            pieces += found
+            pieces.append(_BREAK)
+            lengths.append(len(found) + 1)
+            if len(pieces) >= CHUNK_WORDS:
+                self._fill(out, places, pieces, lengths)
+                places, pieces, lengths = [], [], []
+        if places:
+            self._fill(out, places, pieces, lengths)
+        return out
+
+    def _fill(self, out: list, places: list[int], pieces: list[str], lengths: list[int]) -> None:
+        for i, *levels in zip(places, *self._levels(pieces, lengths)):
+            out[i] = (*out[i], *levels)
+
+
 #: Folds of rated documents by which a model's distributions are calibrated.
 FOLDS = 3
 
@@ -230,19 +347,9 @@ def reading_levels(docs: DataFrame, model: LevelModel, key: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, features = sent.value, _Features()
+        scorer = _Scorer(sent.value)
         for batch in batches:
-            rows = []
-            for k, t in zip(batch["key"].tolist(), batch["text"].tolist()):
-                running = prose(t) if t else ""
-                words = _WORD.findall(running.lower())
-                if not is_english(words):
-                    rows.append((k, False, len(words), None, None, None))
-                    continue
-                sizes, word_ids, char_ids, _ = features.of(running)
-                found = model.distributions(word_ids, char_ids)
-                weights = np.array(sizes)
-                rows.append((k, True, len(words), len(sizes), model.difficulty(found, weights), np.average(found, axis=0, weights=weights).tolist()))
+            rows = [(k, *levels) for k, levels in zip(batch["key"].tolist(), scorer.score(batch["text"].tolist()))]
             yield pd.DataFrame(rows, columns=["key", "english", "prose_words", "sentences", "school_years", "level_shares"]).astype({"sentences": "Int32"})
 
     kind = docs.schema[key].dataType.simpleString()

@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pandas as pd
 
 from tessera.llm import reading
 
@@ -51,3 +54,54 @@ def test_odd_rows(spark):
     assert reading.reading_levels(df.limit(0), model).count() == 0
     empty = spark.createDataFrame([], "doc_id int, school_years int")
     assert reading.fit_on_ratings(df, empty).years.tolist() == [9.0] * reading.LEVELS
+
+
+def scorer(spark, monkeypatch, model):
+    """What a task does with a batch of texts."""
+    df = spark.createDataFrame([(1, "a")], "doc_id int, text string")
+    seen = []
+    plain = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: seen.append(f) or plain(self, f, schema))
+    reading.reading_levels(df, model)
+    return lambda texts: [r[1:] for out in seen[0](iter([pd.DataFrame({"key": range(len(texts)), "text": texts})])) for r in out.itertuples(index=False)]
+
+
+def some_model():
+    r = np.random.default_rng(1)
+    weights = [r.normal(0, 9, (n, reading.LEVELS)).astype(np.float32) for n in (reading.WORD_BUCKETS, reading.CHAR_BUCKETS)]
+    return reading.LevelModel(*weights, np.array([0.1, 0.2, 0.3, 0.4], np.float32), np.array([3.0, 7.0, 10.0, 16.0]))
+
+
+def test_batches_score_like_single_sentences(spark, monkeypatch):
+    monkeypatch.setattr(reading, "KNOWN_WORDS", 40)
+    monkeypatch.setattr(reading, "CHUNK_WORDS", 60)
+    base = "The cat is on the mat. It’s old, and so is the don't-care ΑΣ naïve dog (see e.g. the fig. 3)! \"Is it?\" 12 34. 5.\n\n6 7.\n\n"
+    texts = [None, "", base, "7. 8. 9.\n\n" + base, "die Katze schläft", base * 40, "İt is the K of a \ud800x \x00 and it is so.", "a", " ".join(f"the{chr(97 + i % 26)}{chr(97 + i // 26)} is a" for i in range(200))] * 3
+    model, features = some_model(), reading._Features()
+    got = scorer(spark, monkeypatch, model)(texts)
+    assert len(got) == len(texts)
+    for text, (english, n, sentences, years, shares) in zip(texts, got):
+        running = reading.prose(text or "")
+        words = reading._WORD.findall(running.lower())
+        assert (english, n) == (reading.is_english(words), len(words))
+        if english:
+            sizes, w, c, _ = features.of(running)
+            found = model.distributions(w, c)
+            assert sentences == len(sizes) and abs(years - model.difficulty(found, np.array(sizes))) < 1e-4
+            assert np.allclose(shares, np.average(found, axis=0, weights=sizes), atol=1e-5)
+
+
+def test_scoring_costs_few_passes_over_the_text(spark, monkeypatch):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    score = scorer(spark, monkeypatch, some_model())
+
+    def least(f):
+        took = []
+        for _ in range(4):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    one_pass = least(lambda: [reading._WORD.findall(t.lower()) for t in texts if t])
+    assert least(lambda: score(texts)) < 4 * one_pass
